@@ -3,9 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship, table
-from . import conversations, sameness
+from . import consensus, conversations, pairs, reservoir, sameness
+
+
+#: A pair is a case from this count and these enrichments on, by K.
+MIN_TOGETHER = 5
+MIN_ENRICHMENT = {0: 2.0, 3: 3.6}
+WINDOW = 3
+SAMPLE_SIZE = 10_000
+
+
+def _pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = table(spark, sf_dir, "preprocessed")
+    names = sorted(c.removeprefix("score__") for c in rows.columns if c.startswith("score__"))
+    cutoffs = table(spark, sf_dir, "cutoffs")
+    # One row per score column of the wide table: bounded by its schema.
+    known = {r.annotation_id: r.cutoff for r in cutoffs.where(F.col("annotation_id").isin(names)).groupBy("annotation_id").agg(F.max("cutoff").alias("cutoff")).collect()}
+    score = lambda n: F.col(f"`score__{n}`")
+    items = F.array_compact(F.array(*[F.when(score(n) >= known[n], i) for i, n in enumerate(names) if known.get(n) is not None]))
+    scored = F.array_compact(F.array(*[F.when(score(n).isNotNull() & ~F.isnan(score(n)), i) for i, n in enumerate(names)]))
+    tallies = pairs.counts(rows, ["participant", "source_path", "chat_index"], "message_index", items, scored, WINDOW)
+    return pairs.enrichment(tallies, spark.createDataFrame(list(enumerate(names)), "item int, name string"), WINDOW)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unordered pairs that go together more often than chance, within a message and within the next 3."""
+    least = F.when(F.col("k") == 0, MIN_ENRICHMENT[0]).otherwise(MIN_ENRICHMENT[WINDOW])
+    hits = _pair_table(spark, sf_dir).where((F.col("x") != F.col("y")) & (F.col("c_k") >= MIN_TOGETHER) & (F.col("enrichment") >= least))
+    return hits.select("k", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, enrichment and corrected log odds of every ordered pair."""
+    return _pair_table(spark, sf_dir).select("k", "x", "y", "n_x", "c_k", F.round("enrichment", 6).alias("enrichment"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose right answer is yes."""
+    per_item, _ = consensus.consensus(table(spark, sf_dir, "manual_labels"), table(spark, sf_dir, "manual_items"))
+    return per_item.where("consensus = 'yes'").select("dataset_path", "sequence_index", "annotation_id").distinct()
+
+
+def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus, confidence and agreement of every item."""
+    return consensus.consensus(table(spark, sf_dir, "manual_labels"), table(spark, sf_dir, "manual_items"))[0]
+
+
+def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of every annotator."""
+    return consensus.consensus(table(spark, sf_dir, "manual_labels"), table(spark, sf_dir, "manual_items"))[1]
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform sample of messages; a row that lacks part of its key is told by chat_key or time label."""
+    ship(spark)
+    rows = table(spark, sf_dir, "messages").select(
+        "participant", "source_path", "chat_index", "message_index", "row_id",
+        F.when(F.col("chat_index").isNull(), F.col("chat_key")).alias("other_chat"),
+        F.when(F.col("message_index").isNull(), F.col("timestamp")).alias("other_place"),
+    )
+    key = ["participant", "source_path", "chat_index", "message_index", "other_chat", "other_place"]
+    return reservoir.fixed_size_sample(rows, key, "row_id", SAMPLE_SIZE).select("participant", "source_path", "chat_index", "message_index", "row_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +99,30 @@ def p6_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.ordered(table(spark, sf_dir, "messages"), table(spark, sf_dir, "transcript_files"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ordered": p6_ordered}
-SQL: dict[str, str] = {}
+_P1_SQL = """
+WITH rows AS (SELECT DISTINCT * FROM preprocessed),
+numbered AS (SELECT row_number() OVER () AS rid, participant, source_path, chat_index, message_index, role, "timestamp", chat_key, chat_date, COLUMNS('score__.*') FROM rows),
+long AS (UNPIVOT numbered ON COLUMNS('score__.*') INTO NAME col VALUE score),
+scored AS (SELECT l.rid, substr(l.col, 8) AS item, l.score >= c.cutoff AS pos
+  FROM long l JOIN cutoffs c ON c.annotation_id = substr(l.col, 8) WHERE l.score IS NOT NULL),
+per_item AS (SELECT item, count(*) AS scored, count(*) FILTER (WHERE pos) AS n FROM scored GROUP BY item),
+pos AS (SELECT rid, item FROM scored WHERE pos),
+ahead AS (SELECT rid, unnest([lead(rid, 1) OVER w, lead(rid, 2) OVER w, lead(rid, 3) OVER w]) AS nxt FROM numbered
+  WINDOW w AS (PARTITION BY participant, source_path, chat_index ORDER BY message_index)),
+c AS (SELECT 0 AS k, a.item AS x, b.item AS y, count(*) AS c_k FROM pos a JOIN pos b ON a.rid = b.rid AND a.item <> b.item GROUP BY ALL
+  UNION ALL
+  SELECT 3, a.item, b.item, count(*) FROM ahead h JOIN pos a ON a.rid = h.rid JOIN pos b ON b.rid = h.nxt GROUP BY ALL),
+e AS (SELECT c.k, c.x, c.y, px.n AS n_x, c.c_k, (c.c_k / px.n::DOUBLE) / (py.n / py.scored::DOUBLE) AS enrichment
+  FROM c JOIN per_item px ON px.item = c.x JOIN per_item py ON py.item = c.y)
+"""
+
+QUERIES = {
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found,
+    "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ordered": p6_ordered,
+    "p7_sample": p7_sample,
+}
+SQL: dict[str, str] = {
+    "p1_found": _P1_SQL + """SELECT DISTINCT CAST(k AS INT) AS k, least(x, y) AS x, greatest(x, y) AS y FROM e
+WHERE x <> y AND c_k >= 5 AND enrichment >= CASE WHEN k = 0 THEN 2.0 ELSE 3.6 END""",
+    "p1_pairs": _P1_SQL + "SELECT CAST(k AS INT) AS k, x, y, n_x, c_k, round(enrichment, 6) AS enrichment FROM e",
+}
