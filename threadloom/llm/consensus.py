@@ -6,7 +6,9 @@ ease_i) if it is no. Gradient expectation-maximisation alternates posteriors of
 one Newton step on the log-posterior for abilities (prior mean 1), leanings and log-eases (prior mean
 0). Negative abilities are allowed: an annotator who answers the other way round informs as much as a
 good one; the leaning keeps one who nearly always gives the same answer from counting as able merely
-because that answer is the commoner.
+because that answer is the commoner. "All lean to yes" and "yes is rarer than it looks" explain the
+same answers, so leanings are centred after each step and the share of yes stays that of the items'
+mean answers.
 
 Each pass is two aggregations over the answers, both with partial aggregation, so an annotator or an
 item that holds a third of all answers is no bottleneck. Parameters live in written tables; only
@@ -58,7 +60,7 @@ def _within(x: Column, most: float) -> Column:
     return F.greatest(F.lit(-most), F.least(F.lit(most), x))
 
 
-def fit(answered: DataFrame, rounds: int = 25, tolerance: float = 5e-3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit(answered: DataFrame, rounds: int = 25, tolerance: float = 2e-2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, items, annotators): items with p (of yes) and b (log-ease), annotators with ability and leaning."""
     given = staged(answered.withColumn("item", F.xxhash64(*ITEM)), "answers")
     # Start: everyone is able and without leaning, every item alike.
@@ -69,8 +71,8 @@ def fit(answered: DataFrame, rounds: int = 25, tolerance: float = 5e-3) -> tuple
         return given, items, raters
     slim = given.select("item", "annotator", "y")
     y, p, able, e = F.col("y"), F.col("p"), F.col("ability"), F.exp("b")
+    prior = min(max(prior, 0.02), 0.98)
     for _ in range(rounds):
-        prior = min(max(prior, 0.02), 0.98)
         joined = slim.join(items.select("item", "b"), "item").join(raters, "annotator")
         if_yes, if_no = _likely(y)
         sums = joined.groupBy("item", "b").agg(
@@ -81,25 +83,25 @@ def fit(answered: DataFrame, rounds: int = 25, tolerance: float = 5e-3) -> tuple
         scored = sums.withColumn("p", _sigmoid(F.log(F.lit(prior / (1 - prior))) + F.col("llr")))
         grad = e * (p * F.col("u1") - (1 - p) * F.col("u0")) - F.col("b")
         hess = e * e * (p * F.col("h1") + (1 - p) * F.col("h0")) + 1
-        items = staged(scored.select("item", "p", _within(F.col("b") + _within(grad / hess, 0.5), 2.0).alias("b")), "items")
+        items = staged(scored.select("item", "p", _within(F.col("b") + _within(grad / hess, 0.5), 1.0).alias("b")), "items")
         joined = slim.join(items, "item").join(raters, "annotator")
         if_yes, if_no = _likely(y)
         s1, s0 = p * if_yes * (1 - if_yes), (1 - p) * if_no * (1 - if_no)
         gain = joined.groupBy("annotator", "ability", "leaning").agg(
             F.sum(e * (p * (y - if_yes) - (1 - p) * (y - if_no))).alias("ga"), F.sum(p * (y - if_yes) + (1 - p) * (y - if_no)).alias("gl"),
             F.sum(e * e * (s1 + s0)).alias("haa"), F.sum(s1 + s0).alias("hll"), F.sum(e * (s1 - s0)).alias("hal"),
+            F.count("*").alias("n"),
         )
         ga, gl = F.col("ga") + 1 - able, F.col("gl") - F.col("leaning")
         haa, hll, hal = F.col("haa") + 1, F.col("hll") + 1, F.col("hal")
         det = haa * hll - hal * hal
         da, dl = _within((hll * ga - hal * gl) / det, 1.0), _within((haa * gl - hal * ga) / det, 1.0)
         raters = staged(
-            gain.select("annotator", (able + da).alias("ability"), (F.col("leaning") + dl).alias("leaning"), F.greatest(F.abs(da), F.abs(dl)).alias("change")), "raters"
+            gain.select("annotator", (able + da).alias("ability"), (F.col("leaning") + dl).alias("leaning"), F.greatest(F.abs(da), F.abs(dl)).alias("change"), "n"), "raters"
         )
-        prior = items.agg(F.avg("p")).first()[0]
-        biggest = raters.agg(F.max("change")).first()[0]
-        raters = raters.drop("change")
-        if biggest is not None and biggest < tolerance:
+        biggest, centre = raters.agg(F.max("change"), F.sum(F.col("n") * F.col("leaning")) / F.sum("n")).first()
+        raters = raters.select("annotator", "ability", (F.col("leaning") - centre).alias("leaning"))
+        if biggest < tolerance:
             break
     return given, items, raters
 
