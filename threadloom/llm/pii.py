@@ -1,0 +1,278 @@
+"""Personal information in free text: found, typed and replaced by placeholders (problem 4).
+
+Anchor expansion: one Aho-Corasick pass over the lower-cased text finds at-signs, schemes, cues of
+identity numbers, street words, given names and name cues; a deterministic parser at each anchor
+expands to the item's boundaries and validates it. Digit runs are the anchors of phone numbers.
+
+Defined results: null text stays null and holds nothing; overlapping finds keep the kind that comes
+first in ``KINDS``; repeated items give one span each; placeholders already in the text, handles,
+version and order numbers, single names and names of apps hold nothing.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+KINDS = ("email", "id_number", "phone", "street_address", "name")
+PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
+
+# Given names that start a person's full name.
+GIVEN = (
+    "hugo piet marta priya tomas viktor elif ilse clara soraya wanda nadia greta dario ruben ines oskar akira alma jonas evan "
+    "samuel kwame lucía lucia renée renee ivan anna maria mary john james robert michael david william thomas sarah laura julia "
+    "peter paul martin anja katrin stefan andreas sabine carlos josé jose juan luis miguel carmen elena sofia pablo diego ana "
+    "pierre jean marie claire luca giulia marco francesca olga dmitri natasha yuki hana wei mei ahmed fatima omar layla"
+).split()
+# Words before a full name.
+NAME_CUES = (
+    "asked", "tell", "sincerely,", "signed for by", "called me", "my ex (", "knows", "on the form:", "name is", "sound like",
+    "landlord,", "frag bitte", "heiße", "heisse", "dr.", "me llamo", "regards,", "mrs.", "mr.", "ms.", "frau", "herr", "señora", "señor",
+)
+STRONG_CUES = ("sincerely,", "signed for by", "on the form:", "real name is", "frag bitte", "ich heiße", "me llamo", "sound like")
+PARTICLES = "van|von|der|den|de|del|la|da|di|du|le|dos"
+# Words that follow a single name, so that the two are no full name.
+NOT_SURNAMES = frozenset(
+    "called calls said says told asked wrote and or but the a an is was has had will would could can again about that who which "
+    "in on at for with from to of as if when then than my your his her their our it he she they we i you not never always also "
+    "und oder aber ist war hat rief sagte der die das ein eine y o pero es fue ha llamó dijo el los las un una que read street road".split()
+)
+# Cues of identity numbers, before or after the number.
+ID_CUES = (
+    "ssn", "social security", "my social", "passport", "ausweis", "national id", "identity card", "member id", "member no", "id number",
+    "reisepass", "pasaporte", "dni", "sozialversicherung", "seguridad social", "insurance card", "tax id", "carnet",
+)
+PHONE_CUES = re.compile(
+    r"(?:phone|telefon|teléfono|tel|call me on|call|number is|cell|texted|text|ruf mich unter|unter|mobil|móvil|handy|fax|whatsapp|llámame al)[\s.:(]*$", re.I
+)
+STREET_EN = ("street", "st", "road", "rd", "lane", "ln", "avenue", "ave", "crescent", "cres", "drive", "court", "square", "boulevard", "blvd", "terrace", "way")
+STREET_DE = ("straße", "strasse", "str.", "gasse", "allee", "weg", "platz", "damm", "ufer")
+STREET_ES = ("calle", "avenida", "plaza", "paseo")
+_NOT_STREET = frozenset("of the on my in and to a an at for from with by is was were are steps this that our your his her their out no".split())
+
+_LOCAL = re.compile(r"[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ._%+'-]*[A-Za-z0-9À-ÿ_+-])?$")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\s+dot\s+)[A-Za-z0-9-]+)*(?:\.|\s?[(\[]dot[)\]]\s?|\s+dot\s+)[A-Za-z]{2,}", re.I)
+_ID = re.compile(r"(?<![\w-])(?:[A-Za-z]{1,3}[ -]?)?\d{2,}(?:[ .-]\d+)*(?:[ .-]?[A-Za-z](?!\w))?(?![\w@])")
+_SSN = re.compile(r"(?<![\w.,-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
+_PHONE = re.compile(r"(?<![\w.,#@/+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d(?:[ ./-]{0,3}\d){5,14}(?:\s*(?:ext\.?|x)\s*\d{1,5})?(?![\w@])", re.I)
+_DATE = re.compile(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.]\d{1,2}[/.]\d{2,4}(?!\d)")
+_NANP = re.compile(r"\(?\d{3}\)?[ .-]{1,3}\d{3}[ .-]{1,3}\d{4}|\d(?: \d){9}")
+_NUMBER_BACK = re.compile(r"(?<![\w.,-])\d{1,5}[A-Za-z]?\s+((?:[^\W\d_][\w'’-]*\s+){1,3})$")
+_DE_BACK = re.compile(r"[^\W\d_][\w-]*$")
+_DE_FORE = re.compile(r"\s+\d{1,4}\s?[a-z]?(?!\w)", re.I)
+_ES_FORE = re.compile(r"(?:\s+[^\W\d_][\w'’-]*){1,4},?\s+\d{1,4}(?!\w)")
+_UNIT = re.compile(r",?\s+(?:apt|apartment|unit|suite|flat)\.?\s*\w{1,5}", re.I)
+_WORD = r"[^\W\d_]['’]?[^\W\d_]+(?:[-'’][^\W\d_]['’]?[^\W\d_]*)*"
+_AFTER = re.compile(rf"\s+(?:[^\W\d_]\.\s+)?(?:(?:{PARTICLES})\s+){{0,2}}({_WORD})", re.I)
+_BEFORE = re.compile(rf"((?:(?:{PARTICLES})\s+){{0,2}}({_WORD})),\s+$", re.I)
+_FULL = re.compile(rf"\s*({_WORD})(?:\s+[^\W\d_]\.)?(?:\s+(?:{PARTICLES})){{0,2}}\s+({_WORD})", re.I)
+_NEXT_SENTENCE = re.compile(r"(?<!\bno)(?<!\bnr)[.!?]\s+[^\W\d_]", re.I)
+_DIGIT = re.compile(r"\d")
+
+
+@lru_cache(1)
+def _anchors():
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    words: dict[str, list[tuple[str, str]]] = {}
+    for kind, group in (
+        ("email", ("@", "(at)", "[at]")), ("id", ID_CUES), ("en", STREET_EN), ("de", STREET_DE), ("es", STREET_ES),
+        ("given", GIVEN), ("cue", STRONG_CUES),
+    ):
+        for w in group:
+            words.setdefault(w, []).append((kind, w))
+    for w, kinds in words.items():
+        made.add_word(w, kinds)
+    made.make_automaton()
+    return made
+
+
+def _style(word: str) -> str:
+    letters = [c for c in word if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return "upper"
+    return "title" if letters and letters[0].isupper() else "lower"
+
+
+def _cued(low: str, at: int) -> bool:
+    return low[max(0, at - 20) : at].rstrip().endswith(NAME_CUES) or low[max(0, at - 20) : at].endswith("(")
+
+
+def _email(text: str, at: int, sign: str):
+    left, right = text[max(0, at - 80) : at], at + len(sign)
+    gap = left.endswith(" ")
+    local = _LOCAL.search(left.rstrip(" ") if gap else left)
+    if not local:
+        return None
+    if text[right : right + 1] == " ":
+        if not gap:
+            return None
+        right += 1
+    elif gap:
+        return None
+    domain = _DOMAIN.match(text, right)
+    if not domain:
+        return None
+    start = at - len(left) + local.start()
+    return start, domain.end()
+
+
+def _ids(text: str, low: str, cue_at: int, cue: str, out: list) -> None:
+    """The number that stands next after a cue in its sentence, or just before one."""
+    end = cue_at + len(cue)
+    for m in _ID.finditer(text, end, end + 60):
+        if _NEXT_SENTENCE.search(text, end, m.start()):
+            break
+        if sum(c.isdigit() for c in m.group()) >= 6 and not _DATE.fullmatch(m.group()):
+            out.append((m.start(), m.end(), "id_number"))
+            return
+    if cue == "my social":
+        for m in _ID.finditer(text, max(0, cue_at - 24), cue_at):
+            if sum(c.isdigit() for c in m.group()) >= 6:
+                out.append((m.start(), m.end(), "id_number"))
+
+
+def _phones(text: str, out: list) -> None:
+    for m in _PHONE.finditer(text):
+        s = m.group()
+        digits = sum(c.isdigit() for c in s)
+        if not 7 <= digits <= 18 or _DATE.match(s) or _SSN.fullmatch(s):
+            continue
+        cue = PHONE_CUES.search(text[max(0, m.start() - 20) : m.start()])
+        core = re.sub(r"(?i)\s*(?:ext\.?|x)\s*\d+$", "", s)
+        if core[0] == "+" or cue or _NANP.fullmatch(core) or (core[0] == "0" and digits >= 9 and not core.replace("0", "").isspace()):
+            out.append((m.start(), m.end(), "phone"))
+        elif core[0] == "(" and digits >= 9:
+            out.append((m.start(), m.end(), "phone"))
+
+
+def _street(text: str, low: str, at: int, word: str, kind: str):
+    end = at + len(word)
+    if kind == "en":
+        if (at and not low[at - 1].isspace()) or (end < len(low) and (low[end].isalnum() or low[end] == "_")):
+            return None
+        m = _NUMBER_BACK.search(text[max(0, at - 60) : at])
+        if not m or any(w in _NOT_STREET for w in m[1].lower().split()):
+            return None
+        start = max(0, at - 60) + m.start()
+        unit = _UNIT.match(text, end + (text[end : end + 1] == "."))
+        return start, unit.end() if unit else end
+    if kind == "de":
+        m, n = _DE_BACK.search(text[max(0, at - 40) : at]), _DE_FORE.match(text, end)
+        return (max(0, at - 40) + m.start(), n.end()) if m and n else None
+    if at and low[at - 1].isalnum():
+        return None
+    n = _ES_FORE.match(text, end)
+    return (at, n.end()) if n else None
+
+
+def _name(text: str, low: str, at: int, given: str):
+    end = at + len(given)
+    if (at and (low[at - 1].isalnum() or low[at - 1] in "_@.-")) or (end < len(low) and (low[end].isalnum() or low[end] == "_")):
+        return None
+    style = _style(text[at:end])
+    m = _AFTER.match(text, end)
+    if m and m[1].lower() not in NOT_SURNAMES and len(m[1]) > 2 and (_style(m[1]) == style or (style == "title" and m[1][0].isupper())):
+        if style != "lower" or _cued(low, at):
+            return at, m.end()
+    m = _BEFORE.search(text[max(0, at - 60) : at])
+    if m and m[2].lower() not in NOT_SURNAMES and _style(m[2]) == style:
+        start = max(0, at - 60) + m.start()
+        closed = end >= len(text) or text[end] in ".,;:!?)\n"
+        if _cued(low, start) or (closed and style != "lower" and start and text[start - 1] in "(\n"):
+            return start, end
+    return None
+
+
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """Non-overlapping (start, end, kind) of the personal items of a text, in order."""
+    low = text.lower()
+    if len(low) != len(text):  # keep offsets where a letter's lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found: list[tuple[int, int, str]] = []
+    for last, kinds in _anchors().iter(low):
+        for kind, word in kinds:
+            at = last - len(word) + 1
+            hit = None
+            if kind == "email":
+                hit = _email(text, at, word)
+                kind = "email"
+            elif kind == "id":
+                if not (at and low[at - 1].isalnum() and word in ("ssn", "dni")):
+                    _ids(text, low, at, word, found)
+                continue
+            elif kind in ("en", "de", "es"):
+                hit = _street(text, low, at, word, kind)
+                kind = "street_address"
+            elif kind == "given":
+                hit = _name(text, low, at, word)
+                kind = "name"
+            else:
+                m = _FULL.match(text, last + 1)
+                if m and m[1][0].isupper() and m[2][0].isupper() and not {m[1].lower(), m[2].lower()} & NOT_SURNAMES:
+                    hit = (m.start(1), m.end())
+                kind = "name"
+            if hit:
+                found.append((*hit, kind))
+    if _DIGIT.search(text):
+        for m in _SSN.finditer(text):
+            found.append((m.start(), m.end(), "id_number"))
+        _phones(text, found)
+    if len(found) < 2:
+        return found
+    kept: list[tuple[int, int, str]] = []
+    for s in sorted(found, key=lambda x: (KINDS.index(x[2]), x[0] - x[1], x[0])):
+        if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
+            kept.append(s)
+    return sorted(kept)
+
+
+def redact(text: str | None) -> tuple[str | None, list[str]]:
+    """The text with typed placeholders, and the kinds it held."""
+    if not text:
+        return text, []
+    found = spans(text)
+    if not found:
+        return text, []
+    parts, at = [], 0
+    for start, end, kind in found:
+        parts += [text[at:start], PLACEHOLDER[kind]]
+        at = end
+    return "".join([*parts, text[at:]]), sorted({k for _, _, k in found})
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        index, kinds = [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            if text:
+                for kind in {k for _, _, k in spans(text)}:
+                    index.append(i)
+                    kinds.append(kind)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(kinds, pa.string())], [batch.schema.names[0], "kind"])
+
+
+def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = [redact(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.list_(pa.field("element", pa.string())))],
+            [batch.schema.names[0], "content", "kinds"],
+        )
+
+
+def found(df: DataFrame, content: str = "content", row_id: str = "row_id") -> DataFrame:
+    """(row_id, kind): one row per kind that a text holds. One pass, no shuffle."""
+    kind = dict(df.dtypes)[row_id]
+    return df.select(row_id, content).mapInArrow(_kinds, f"`{row_id}` {kind}, kind string")
+
+
+def redacted(df: DataFrame, content: str = "content", row_id: str = "row_id") -> DataFrame:
+    """(row_id, content, kinds): every row with its text redacted."""
+    kind = dict(df.dtypes)[row_id]
+    return df.select(row_id, content).mapInArrow(_redacted, f"`{row_id}` {kind}, content string, kinds array<string>")
