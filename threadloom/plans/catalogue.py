@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import timestamps
+from . import rates, timestamps
 
-MODULES = (timestamps,)
+MODULES = (timestamps, rates)
 
 
 def queries() -> dict:
