@@ -138,7 +138,8 @@ def role_split_metadata(annotations: DataFrame, ids: list[str]) -> DataFrame:
 
 def cutoff_roles(cutoffs: DataFrame) -> DataFrame:
     """Role-specific ids inherit the base cutoff unless they have their own."""
-    made = cutoffs.select(F.concat_ws("-", F.explode(F.array(F.lit("user"), F.lit("assistant"))), "annotation_id").alias("annotation_id"), "cutoff")
+    roles = cutoffs.select("*", F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("_r"))
+    made = roles.select(F.concat_ws("-", "_r", "annotation_id").alias("annotation_id"), "cutoff")
     return cutoffs.unionByName(made.join(cutoffs, "annotation_id", "left_anti"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rates, timestamps
+from . import rates, sequences, timestamps
 
-MODULES = (timestamps, rates)
+MODULES = (timestamps, rates, sequences)
 
 
 def queries() -> dict:
