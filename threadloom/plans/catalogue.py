@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rates, sequences, timestamps
+from . import agreement, rates, sequences, timestamps
 
-MODULES = (timestamps, rates, sequences)
+MODULES = (timestamps, rates, sequences, agreement)
 
 
 def queries() -> dict:
