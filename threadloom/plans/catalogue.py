@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import agreement, rates, sequences, timestamps
+from . import agreement, rates, relations, sequences, timestamps
 
-MODULES = (timestamps, rates, sequences, agreement)
+MODULES = (timestamps, rates, sequences, agreement, relations)
 
 
 def queries() -> dict:
