@@ -94,7 +94,7 @@ SELECT {CONV_SQL}, quote, arg_min(message_index, (CASE WHEN contains(content, qu
 )
 query("participant_stats_total", f"""WITH t AS (SELECT {KEY_SQL}, arg_min_null(content, row_id) AS content FROM messages WHERE chat_index IS NOT NULL AND message_index IS NOT NULL GROUP BY ALL),
 c AS (SELECT {CONV_SQL}, count(*) AS length, sum(length(coalesce(content, ''))) AS chars,
- sum(CASE WHEN trim(regexp_replace(coalesce(content, ''), '[\\s\\x0b\\x{a0}]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content, '[\\s\\x0b\\x{a0}]+', ' ', 'g')), ' ')) END) AS words FROM t GROUP BY ALL)
+ sum(CASE WHEN trim(regexp_replace(coalesce(content, ''), '[\\s\\x0b\\x{{a0}}]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content, '[\\s\\x0b\\x{{a0}}]+', ' ', 'g')), ' ')) END) AS words FROM t GROUP BY ALL)
 SELECT coalesce(participant, 'TOTAL') AS participant, count(*) AS conversations, CAST(sum(length) AS BIGINT) AS messages, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(words) AS BIGINT) AS words,
  max(length) AS longest, quantile_cont(length, 0.5) AS median_length FROM c GROUP BY GROUPING SETS ((participant), ())""")(lambda i: transcripts.participant_stats(i.t("messages")))
 query("ordering_types", """WITH a AS (SELECT participant, avg(CASE WHEN "timestamp" IS NOT NULL THEN 1 ELSE 0 END) AS ts, avg(CASE WHEN chat_date IS NOT NULL THEN 1 ELSE 0 END) AS dates,
