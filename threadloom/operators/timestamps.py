@@ -309,6 +309,7 @@ def with_clocks(messages: DataFrame, files: DataFrame) -> DataFrame:
         F.max(F.coalesce("clock_zone", F.lit("UTC"))).alias("_stated"),
         F.max("date_order").alias("date_order"),
     )
+    messages = messages.drop("date_order", "clock", "day_first", "_stated", "_guess")
     joined = messages.join(described, "source_path", "left")
     missing = messages.select("source_path").distinct().join(described, "source_path", "left_anti")
     if missing.isEmpty():
