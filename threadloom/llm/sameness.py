@@ -24,8 +24,8 @@ MIN_LETTERS = 30
 
 
 def folded(text: Column) -> Column:
-    """Letters and digits only, one letter case (upper then lower, so that sharp s equals ss)."""
-    return F.regexp_replace(F.lower(F.upper(text)), _IGNORED, "")
+    """Letters and digits only, in one letter case; sharp s has no single capital and equals ss."""
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _IGNORED, "")
 
 
 def code(value: Column) -> Column:
