@@ -64,9 +64,9 @@ query("cap_per_annotation", f"""SELECT dataset_path, sequence_index, annotation_
 query("sample_per_annotation")(
     lambda i: relations.per_group(i.t("manual_items"), ["annotation_id"], [relations.hashed(7, "dataset_path", "sequence_index"), F.col("sequence_index")], 5).select("dataset_path", "sequence_index", "annotation_id")
 )
-query("symmetric_extremes", """(SELECT "K", "X", "Y", ln(enrichment_K) AS e FROM sequence_pairs WHERE ln(enrichment_K) < 0 ORDER BY e, "X" || "Y" || "K" LIMIT 10)
-UNION ALL (SELECT "K", "X", "Y", ln(enrichment_K) AS e FROM sequence_pairs WHERE ln(enrichment_K) > 0 ORDER BY e DESC, "X" || "Y" || "K" LIMIT 10)""")(
-    lambda i: relations.extremes(i.t("sequence_pairs").select("K", "X", "Y", F.ln("enrichment_K").alias("e"), F.concat("X", "Y", "K").alias("tie")), "e", "tie", 10, 10).drop("tie")
+query("symmetric_extremes", """(SELECT "K", "X", "Y", round(ln(enrichment_K), 9) AS e FROM sequence_pairs WHERE ln(enrichment_K) < 0 ORDER BY e, "X" || "Y" || "K" LIMIT 10)
+UNION ALL (SELECT "K", "X", "Y", round(ln(enrichment_K), 9) AS e FROM sequence_pairs WHERE ln(enrichment_K) > 0 ORDER BY e DESC, "X" || "Y" || "K" LIMIT 10)""")(
+    lambda i: relations.extremes(i.t("sequence_pairs").select("K", "X", "Y", F.round(F.ln("enrichment_K"), 9).alias("e"), F.concat("X", "Y", "K").alias("tie")), "e", "tie", 10, 10).drop("tie")
 )
 query("page_of_records", f"SELECT {KEY_SQL}, annotation_id, score FROM (" + CTE + f"""SELECT {KEY_SQL}, annotation_id, score FROM scored WHERE is_pos AND annotation_id = 'user-tests-memory'
  ORDER BY score DESC, {KEY_SQL} LIMIT 25 OFFSET 50)""")(
