@@ -144,6 +144,42 @@ def test_conversations(spark):
     }
 
 
+def placed_in_order(spark, *chats):
+    rows, n = [], 0
+    for turns, start in chats:
+        for index, place, role, content, at in turns:
+            n += 1
+            stamp = None if at is None else str(start + at)
+            rows.append((n, "p", "f", index, place, role, stamp, f"key {index}", None, content, None, 1))
+    files = spark.createDataFrame([("f", None, "dmy")], "source_path string, clock_zone string, date_order string")
+    got = conversations.ordered(spark.createDataFrame(rows, SCHEMA), files).collect()
+    return sorted((r.chat_index, -1 if r.message_index is None else r.message_index, r.speaker, r.row_id) for r in got)
+
+
+def test_ordered_keeps_rows_without_place(spark):
+    got = placed_in_order(
+        spark,
+        # Two loose rows out of order fill places 1 and 3, one is later than all indexed rows, one is a copy of place 4.
+        chat(0, (0, "user", "a", 0), (None, "user", "late", 900), (2, "ai", "c", 120), (None, "ai", "d", 180), (None, "user", "b", 60), (4, "ai", "e", 240), (None, "ai", "E!", 250)),
+        chat(1, (0, "user", "hi", 0), (None, "ai", "the last reply", 600)),
+        # Nothing shows the place of the note; the other row without instant repeats place 1.
+        chat(2, (0, "user", "hi", 0), (1, "ai", "yes", 60), (None, "ai", "a note", None), (None, "ai", "another note", None), (None, "ai", "Yes.", None)),
+        chat(3, (0, "user", "hi", 0), (None, "ai", "unusable", 30), (4, "ai", "yes", 60)),
+        chat(4, (0, "user", "hi", 0), (1, "ai", "yes", 60), (None, "ai", "twice", 600), (None, "ai", "Twice", 601), (None, "ai", "more", 700)),
+    )
+    assert [r for r in got if r[0] == 1] == [(1, 0, "person", 8), (1, 1, "machine", 9)]
+    assert [r for r in got if r[0] == 2] == [(2, -1, "machine", 12), (2, -1, "machine", 13), (2, 0, "person", 10), (2, 1, "machine", 11)]
+    assert not [r for r in got if r[0] == 3]
+    assert [r for r in got if r[0] == 4] == [(4, 0, "person", 18), (4, 1, "machine", 19), (4, 2, "machine", 20), (4, 3, "machine", 22)]
+    # The conversation ends with the person, so it is unusable until a reply follows.
+    assert not [r for r in got if r[0] == 0]
+    got = placed_in_order(
+        spark,
+        chat(0, (0, "user", "a", 0), (None, "ai", "late", 900), (2, "user", "c", 120), (None, "ai", "d", 180), (None, "ai", "b", 60), (4, "user", "e", 240), (None, "user", "E!", 250)),
+    )
+    assert got == [(0, 0, "person", 1), (0, 1, "machine", 5), (0, 2, "person", 3), (0, 3, "machine", 4), (0, 4, "person", 6), (0, 5, "machine", 2)]
+
+
 def test_no_conversations(spark):
     files = spark.createDataFrame([], "source_path string, clock_zone string, date_order string")
     assert conversations.broken(spark.createDataFrame([], SCHEMA), files).count() == 0

@@ -8,7 +8,7 @@ equals blank content. Repeated rows agree with themselves. An empty table has no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.timestamps import label_instants, with_clocks
@@ -83,7 +83,11 @@ def broken(messages: DataFrame, files: DataFrame) -> DataFrame:
     up to the largest index, rows later than the last indexed instant extend the conversation, the
     others fill the free places; a place stays free if there are fewer of them than F.
     """
-    rows = rebuilt(messages)
+    return _broken(rebuilt(messages), files)[0]
+
+
+def _broken(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The unusable conversations of rebuilt rows, and the instants that ``_timed`` read for them."""
     conv = list(CONVERSATION)
     places = (
         rows.groupBy(*conv, "message_index", "text_code")
@@ -111,7 +115,8 @@ def broken(messages: DataFrame, files: DataFrame) -> DataFrame:
         F.max("asked").alias("asked"),
         F.max_by("said_by", F.when(placed & F.col("said_by").isNotNull(), F.col("message_index"))).alias("last"),
     )
-    loose = _loose(rows, files)
+    timed = _timed(rows, files)
+    loose = None if timed is None else _loose(timed)
     judged = (
         chats if loose is None else chats.join(loose, [chats[c].eqNullSafe(loose["_" + c]) for c in conv], "left")
     )
@@ -128,11 +133,11 @@ def broken(messages: DataFrame, files: DataFrame) -> DataFrame:
         "no_person": ~F.coalesce(F.col("asked"), F.lit(False)),
         "no_reply": F.coalesce(last == "person", F.lit(False)),
     }
-    return judged.select(*[chats[c] for c in conv], *[v.alias(k) for k, v in reasons.items()]).where(" or ".join(reasons))
+    return judged.select(*[chats[c] for c in conv], *[v.alias(k) for k, v in reasons.items()]).where(" or ".join(reasons)), timed
 
 
-def _loose(rows: DataFrame, files: DataFrame) -> DataFrame | None:
-    """Per conversation with rows that lack message_index: how many fill places, and who speaks latest."""
+def _timed(rows: DataFrame, files: DataFrame) -> DataFrame | None:
+    """Rows of the conversations with rows that lack message_index, with the instant t of each label."""
     lacking = rows.where("message_index is null")
     if lacking.isEmpty():
         return None
@@ -146,7 +151,12 @@ def _loose(rows: DataFrame, files: DataFrame) -> DataFrame | None:
         zone="clock",
         day_first="day_first",
     ).withColumn("t", F.col("utc_second"))
-    timed = staged(timed, "timed")
+    return staged(timed, "timed")
+
+
+def _bare(timed: DataFrame) -> DataFrame:
+    """Per conversation the texts with an instant t but no message_index that need a place of their own."""
+    conv = list(CONVERSATION)
     has_index = timed.where("message_index is not null")
     # A copy of a row that has its index needs no place of its own; copies of each other share one.
     bare = timed.where("message_index is null and t is not null").groupBy(*conv, "text_code", F.expr("t div 60").alias("minute")).agg(
@@ -154,7 +164,13 @@ def _loose(rows: DataFrame, files: DataFrame) -> DataFrame | None:
     )
     b, i = bare.alias("b"), has_index.where("t is not null").select(*conv, "text_code", F.col("t").alias("ti")).alias("i")
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"i.{c}")) for c in (*conv, "text_code")]
-    bare = b.join(i, [*same, F.abs(F.col("b.t") - F.col("i.ti")) < 60], "left_anti")
+    return b.join(i, [*same, F.abs(F.col("b.t") - F.col("i.ti")) < 60], "left_anti")
+
+
+def _loose(timed: DataFrame) -> DataFrame:
+    """Per conversation with rows that lack message_index: how many fill places, and who speaks latest."""
+    conv = list(CONVERSATION)
+    has_index, bare = timed.where("message_index is not null"), _bare(timed)
     talk = F.col("visible") & F.col("speaker").isin("person", "machine")
     ends = has_index.groupBy(*conv).agg(
         F.max("t").alias("t_max"), F.max_by("t", F.when(talk, F.col("message_index"))).alias("t_last")
@@ -172,9 +188,76 @@ def _loose(rows: DataFrame, files: DataFrame) -> DataFrame | None:
     )
 
 
+def _placed(timed: DataFrame) -> DataFrame:
+    """(row_id, place) of the rows of ``_timed`` that lack message_index; place is null where nothing shows it.
+
+    A copy of an indexed row has its place, the one of the nearest instant. The others are ranked by their
+    instants: those up to the last indexed instant take the free places in this order, the rest (and what
+    the free places do not hold) follow the largest index. A row without instant has a place only if all
+    rows of its text have the same one.
+    """
+    conv = list(CONVERSATION)
+    on = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*conv, *more)]
+    has_index = timed.where("message_index is not null")
+    lacking = timed.where("message_index is null").withColumn("minute", F.expr("t div 60"))
+    taken = has_index.where("message_index >= 0").select(*conv, "message_index").distinct()
+    by_place = Window.partitionBy(*conv).orderBy("message_index")
+    # Free places as ranges: from, how many, and how many are free before them.
+    gaps = (
+        taken.withColumn("start", F.coalesce(F.lag("message_index").over(by_place), F.lit(-1)) + 1)
+        .withColumn("size", F.col("message_index") - F.col("start"))
+        .where("size > 0")
+        .withColumn("before", F.sum("size").over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        .select(*conv, "start", "size", "before")
+    )
+    ends = has_index.groupBy(*conv).agg(
+        F.max("t").alias("t_max"), F.coalesce(F.max("message_index"), F.lit(-1)).alias("top"),
+        F.count_distinct(F.when(F.col("message_index") >= 0, F.col("message_index"))).alias("held"),
+    )
+    bare = (
+        _bare(timed).alias("b").join(ends.alias("e"), on("b", "e"), "left")
+        .select("b.*", F.coalesce(F.greatest("top", F.lit(-1)), F.lit(-1)).alias("top"), F.coalesce("held", F.lit(0)).alias("held"),
+                F.coalesce(F.col("b.t") > F.col("t_max"), F.lit(False)).alias("later"))
+        .withColumn("free", F.col("top") + 1 - F.col("held"))
+    )
+    ranked = bare.withColumn("rank", F.row_number().over(Window.partitionBy(*conv, "later").orderBy("t", "text_code", "minute")) - 1)
+    ranked = ranked.withColumn("fills", ~F.col("later") & (F.col("rank") < F.col("free")))
+    behind = Window.partitionBy(*conv, "fills").orderBy("t", "text_code", "minute")
+    ranked = ranked.withColumn("tail", F.col("top") + F.row_number().over(behind))
+    own = (
+        ranked.alias("r").join(gaps.alias("g"), [*on("r", "g"), F.col("r.fills"), F.col("r.rank") >= F.col("g.before"), F.col("r.rank") < F.col("g.before") + F.col("g.size")], "left")
+        .select("r.text_code", *[f"r.{c}" for c in conv], "r.minute", F.when(F.col("r.fills"), F.col("g.start") + F.col("r.rank") - F.col("g.before")).otherwise(F.col("r.tail")).alias("own"))
+    )
+    # Copies of an indexed row are within a minute of it, as in ``_bare``.
+    copies = (
+        lacking.alias("l").join(has_index.alias("i"), [*on("l", "i", "text_code"), F.abs(F.col("l.t") - F.col("i.t")) < 60])
+        .groupBy("l.row_id").agg(F.min_by("i.message_index", F.struct(F.abs(F.col("l.t") - F.col("i.t")), "i.message_index")).alias("copied"))
+    )
+    told = (
+        lacking.alias("l").join(own.alias("o"), on("l", "o", "text_code", "minute"), "left").select("l.*", "own").join(copies, "row_id", "left")
+        .withColumn("place", F.coalesce("copied", "own"))
+    )
+    one = (
+        told.select(*conv, "text_code", F.col("place").alias("p")).unionByName(has_index.select(*conv, "text_code", F.col("message_index").alias("p")))
+        .groupBy(*conv, "text_code").agg(F.min("p").alias("least"), F.max("p").alias("most"))
+    )
+    timeless = F.when(F.col("t").isNull() & (F.col("least") == F.col("most")), F.col("least"))
+    return told.alias("l").join(one.alias("o"), on("l", "o", "text_code"), "left").select("l.row_id", F.coalesce("l.place", timeless).cast("int").alias("place"))
+
+
 def ordered(messages: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows of usable conversations: conversation key, place, speaker and row_id of each first delivery."""
+    """Every place of the usable conversations: conversation key, place, speaker and row_id of its first delivery.
+
+    Rows that lack message_index have the place that ``_placed`` gives them, and null where nothing shows
+    one; rows of null place count as one only if their content is the same.
+    """
     rows = rebuilt(messages)
-    bad = broken(messages, files).select(*[F.col(c).alias("_" + c) for c in CONVERSATION])
-    kept = rows.where("message_index is not null").join(bad, [rows[c].eqNullSafe(bad["_" + c]) for c in CONVERSATION], "left_anti")
-    return kept.groupBy(*CONVERSATION, "message_index").agg(F.max("speaker").alias("speaker"), F.min("row_id").alias("row_id"))
+    bad, timed = _broken(rows, files)
+    bad = bad.select(*[F.col(c).alias("_" + c) for c in CONVERSATION])
+    if timed is not None:
+        places = _placed(timed).withColumnRenamed("row_id", "_row")
+        lacking = rows.where("message_index is null").join(places, F.col("row_id") == F.col("_row"), "left").withColumn("message_index", F.col("place"))
+        rows = rows.where("message_index is not null").unionByName(lacking.drop("_row", "place"))
+    kept = rows.join(bad, [rows[c].eqNullSafe(bad["_" + c]) for c in CONVERSATION], "left_anti")
+    kept = kept.withColumn("_text", F.when(F.col("message_index").isNull(), F.col("text_code")))
+    return kept.groupBy(*CONVERSATION, "message_index", "_text").agg(F.max("speaker").alias("speaker"), F.min("row_id").alias("row_id")).drop("_text")
