@@ -27,6 +27,24 @@ def test_personal_items(text, kinds):
     assert set(pii.redact(text)[1]) == kinds
 
 
+UNLISTED = [
+    ("Tell Ottoline Brackwater that I am sorry.", "Tell [NAME] that I am sorry."), ("I asked THORVALD DE WINCKHAM about it", "I asked [NAME] about it"),
+    ("my neighbour, Eudora van Plessen, has the key", "my neighbour, [NAME], has the key"), ("Sincerely, Brackwater, Ottoline.", "Sincerely, [NAME]."),
+    ("Dr. Ottoline P. Brackwater said so", "Dr. [NAME] said so"), ("Frag bitte Thorvald Winckham, falls", "Frag bitte [NAME], falls"), ("Me llamo Eudora Plessen.", "Me llamo [NAME]."),
+]
+
+
+@pytest.mark.parametrize("text,clean", UNLISTED)
+def test_names_off_the_list(text, clean):
+    assert not set("ottoline thorvald eudora".split()) & set(pii.GIVEN)
+    assert pii.redact(text)[0] == clean
+
+
+@pytest.mark.parametrize("text", ["I asked Ottoline about it", "Tell Frau Winckham", "My Flatmate Repeated Back Why I Stopped", "eINE fRAU AUS DEM cHOR BESCHRIEB", "tell Customer Service", "TELL THEM EVERYTHING NOW"])
+def test_no_names_at_cues(text):
+    assert pii.redact(text) == (text, [])
+
+
 def test_redaction_keeps_the_rest(spark):
     text = "Call me on 415.555.0150, or ask Hugo Fennova at 12 Minnow St., Apt 3."
     assert pii.redact(text)[0] == "Call me on [PHONE], or ask [NAME] at [STREET_ADDRESS]."

@@ -1,12 +1,15 @@
 """Personal information in free text: found, typed and replaced by placeholders (problem 4).
 
 Anchor expansion: one Aho-Corasick pass over the lower-cased text finds at-signs, schemes, cues of
-identity numbers, street words, given names and name cues; a deterministic parser at each anchor
+identity numbers, street words, given names and name cues; a name cue makes a full name of any
+capitalised pair after it, a listed given name also without one; a deterministic parser at each anchor
 expands to the item's boundaries and validates it. Digit runs are the anchors of phone numbers.
 
 Defined results: null text stays null and holds nothing; overlapping finds keep the kind that comes
 first in ``KINDS``; repeated items give one span each; placeholders already in the text, handles,
-version and order numbers, single names and names of apps hold nothing.
+version and order numbers, single names and names of apps hold nothing. A full name whose given name is
+not in ``GIVEN`` is found only at a name cue, and in lower case only after ``SIGNED``; see the README for
+the recall of that.
 """
 
 from __future__ import annotations
@@ -26,7 +29,18 @@ GIVEN = (
     "hugo piet marta priya tomas viktor elif ilse clara soraya wanda nadia greta dario ruben ines oskar akira alma jonas evan "
     "samuel kwame lucía lucia renée renee ivan anna maria mary john james robert michael david william thomas sarah laura julia "
     "peter paul martin anja katrin stefan andreas sabine carlos josé jose juan luis miguel carmen elena sofia pablo diego ana "
-    "pierre jean marie claire luca giulia marco francesca olga dmitri natasha yuki hana wei mei ahmed fatima omar layla"
+    "pierre jean marie claire luca giulia marco francesca olga dmitri natasha yuki hana wei mei ahmed fatima omar layla "
+    "patricia jennifer linda elizabeth barbara susan jessica karen nancy lisa betty sandra ashley emily donna michelle carol amanda "
+    "melissa deborah stephanie rebecca sharon cynthia kathleen amy angela shirley brenda pamela emma nicole helen samantha katherine "
+    "christine rachel janet heather joseph charles christopher daniel matthew anthony donald steven andrew joshua kenneth kevin brian "
+    "george timothy ronald edward jason jeffrey ryan jacob nicholas gary eric jonathan stephen larry justin benjamin gregory alexander "
+    "patrick raymond dennis jerry tyler aaron henry oliver harry sophie charlotte ingrid ursula heike monika renate gisela petra birgit "
+    "claudia susanne angelika jürgen wolfgang klaus dieter manfred uwe günter horst bernd matthias markus tobias florian sebastian lukas "
+    "felix moritz leon hannah lena johanna franziska antonio francisco manuel javier fernando alejandro rafael ángel raúl jesús jorge "
+    "alberto álvaro isabel dolores pilar teresa cristina beatriz rocío marisol ximena valentina camila giovanni giuseppe chiara alessandro "
+    "françois jacques philippe nathalie isabelle sylvie camille thierry joão paulo fernanda mariana sergei vladimir ekaterina tatiana "
+    "svetlana mikhail aleksandr mohammed mohamed hassan ibrahim aisha khadija mustafa priyanka rahul arjun sanjay deepak lakshmi anjali "
+    "hiroshi takashi keiko yoko jin minh nguyen chidi amara kofi björn sven astrid freya lars henrik agnieszka katarzyna piotr jakub zofia"
 ).split()
 # Words before a full name.
 NAME_CUES = (
@@ -34,6 +48,35 @@ NAME_CUES = (
     "landlord,", "frag bitte", "heiße", "heisse", "dr.", "me llamo", "regards,", "mrs.", "mr.", "ms.", "frau", "herr", "señora", "señor",
 )
 STRONG_CUES = ("sincerely,", "signed for by", "on the form:", "real name is", "frag bitte", "ich heiße", "me llamo", "sound like")
+#: Any capitalised pair after these is a full name, whatever its given name; words must begin a word.
+NAME_FRAMES = (
+    "tell", "told", "ask", "asked", "asks", "know", "knows", "knew", "met", "meet", "called me", "calls me", "named", "thank", "thanks to",
+    "emailed", "texted", "visited", "married", "dear", "sounds like", "signed by", "written by", "sent by", "on behalf of", "name is", "name was",
+    "name:", "i am", "i'm", "this is", "regards,", "yours,", "love,", "cheers,", "dr.", "mr.", "mrs.", "ms.", "prof.", "frau", "herr", "herrn", "señora",
+    "señor", "don", "doña", "fragte", "frage", "frag", "kennt", "mein name ist", "ich bin", "grüße,", "viele grüße", "liebe", "lieber", "heiße", "heisse",
+    "pregunta a", "pregunté a", "dile a", "conoce a", "mi nombre es", "soy", "saludos,", "atentamente,", "querida", "querido",
+    *(r + t for r in (
+        "landlord", "landlady", "friend", "boss", "manager", "teacher", "therapist", "doctor", "nurse", "lawyer", "neighbour", "neighbor", "colleague",
+        "coworker", "roommate", "flatmate", "husband", "wife", "partner", "boyfriend", "girlfriend", "fiancé", "fiancée", "ex", "brother", "sister", "mother",
+        "father", "son", "daughter", "cousin", "uncle", "aunt", "freund", "freundin", "chef", "chefin", "nachbar", "nachbarin", "bruder", "schwester",
+        "amigo", "amiga", "jefe", "jefa", "vecino", "vecina", "hermano", "hermana", "marido", "mujer", "esposa",
+    ) for t in ("", ",", " (")),
+)
+#: Frames that are capitalised within a sentence, too.
+CAPITALS = frozenset(
+    "dr. mr. mrs. ms. prof. frau herr herrn freund freundin chef chefin nachbar nachbarin bruder schwester grüße,".split()
+) | {"i am", "i'm"}
+#: After these a name may also stand in lower case or family name first.
+SIGNED = ("sincerely,", "signed for by", "on the form:", "real name is", "name is", "regards,", "ich heiße", "me llamo", "frag bitte")
+# Capitalised words that no person's full name begins or ends with.
+NOT_NAMES = frozenset(
+    "dr mr mrs ms miss prof professor sir frau herr herrn señor señora doctor nurse officer mom mum dad grandma grandpa aunt uncle me more them "
+    "yours truly everyone someone everything nothing there here please today tomorrow yesterday now so because just no yes how what why where "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
+    "montag dienstag mittwoch donnerstag freitag samstag sonntag lunes martes miércoles jueves viernes sábado domingo google microsoft apple amazon "
+    "facebook openai chatgpt chat gpt claude gemini siri alexa assistant bot ai customer service support team new san santa los las united north south "
+    "east west street road avenue lane university college hospital company bank ich du er sie wir ihr mich dich uns nach bitte".split()
+)
 PARTICLES = "van|von|der|den|de|del|la|da|di|du|le|dos"
 # Words that follow a single name, so that the two are no full name.
 NOT_SURNAMES = frozenset(
@@ -70,6 +113,8 @@ _WORD = r"[^\W\d_]['’]?[^\W\d_]+(?:[-'’][^\W\d_]['’]?[^\W\d_]*)*"
 _AFTER = re.compile(rf"\s+(?:[^\W\d_]\.\s+)?(?:(?:{PARTICLES})\s+){{0,2}}({_WORD})", re.I)
 _BEFORE = re.compile(rf"((?:(?:{PARTICLES})\s+){{0,2}}({_WORD})),\s+$", re.I)
 _FULL = re.compile(rf"\s*({_WORD})(?:\s+[^\W\d_]\.)?(?:\s+(?:{PARTICLES})){{0,2}}\s+({_WORD})", re.I)
+_REVERSED = re.compile(rf"\s*((?:(?:{PARTICLES})\s+){{0,2}}({_WORD})),\s+({_WORD})(?=[.,;:!?)\n]|\s+(?:und|y)\s|$)", re.I)
+_NEXT_WORD = re.compile(r"\s+([^\W\d_])")
 _NEXT_SENTENCE = re.compile(r"(?<!\bno)(?<!\bnr)[.!?]\s+[^\W\d_]", re.I)
 _DIGIT = re.compile(r"\d")
 
@@ -82,7 +127,7 @@ def _anchors():
     words: dict[str, list[tuple[str, str]]] = {}
     for kind, group in (
         ("email", ("@", "(at)", "[at]")), ("id", ID_CUES), ("en", STREET_EN), ("de", STREET_DE), ("es", STREET_ES),
-        ("given", GIVEN), ("cue", STRONG_CUES),
+        ("given", GIVEN), ("cue", STRONG_CUES), ("frame", tuple(dict.fromkeys(NAME_FRAMES + SIGNED))),
     ):
         for w in group:
             words.setdefault(w, []).append((kind, w))
@@ -189,6 +234,36 @@ def _name(text: str, low: str, at: int, given: str):
     return None
 
 
+def _framed(text: str, low: str, at: int, frame: str):
+    """The full name after a frame, whatever its given name."""
+    end = at + len(frame)
+    if at and (low[at - 1].isalnum() or low[at - 1] in "_@'’"):
+        return None
+    if frame[-1].isalnum() and not text[end : end + 1].isspace():
+        return None
+    written = text[at:end]
+    if written not in (frame, frame.capitalize(), frame.upper()):
+        return None
+    before = text[max(0, at - 20) : at].rstrip(" \t")
+    if written[0].isupper() and not written.isupper() and frame not in CAPITALS and before and before[-1] not in ".!?:;,\n([{<>\"“„'*-—":
+        return None  # a title or a text whose words are all capitalised
+    signed = frame in SIGNED
+    shouted = written.isupper() and len(written) > 1
+    m = _FULL.match(text, end)
+    if m and (n := _NEXT_WORD.match(text, m.end())) and n[1].isupper() and _style(m[2]) == "title":
+        m = None
+    if m and min(len(m[1]), len(m[2])) > 2 and not {m[1].lower(), m[2].lower()} & (NOT_SURNAMES | NOT_NAMES):
+        given, family = _style(m[1]), _style(m[2])
+        if family != "lower" and (given == "title" or given == family == "upper" and not shouted):
+            return m.start(1), m.end()
+        if signed and given == family == "lower" and (m.end() == len(text) or text[m.end()] in ".,;!?)\n"):
+            return m.start(1), m.end()
+    m = _REVERSED.match(text, end) if signed else None
+    if m and not {m[2].lower(), m[3].lower()} & (NOT_SURNAMES | NOT_NAMES) and _style(m[2]) == _style(m[3]) != "lower":
+        return m.start(1), m.end()
+    return None
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind) of the personal items of a text, in order."""
     low = text.lower()
@@ -212,6 +287,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             elif kind == "given":
                 hit = _name(text, low, at, word)
                 kind = "name"
+            elif kind == "frame":
+                hit = _framed(text, low, at, word)
+                kind = "name"
             else:
                 m = _FULL.match(text, last + 1)
                 if m and m[1][0].isupper() and m[2][0].isupper() and not {m[1].lower(), m[2].lower()} & NOT_SURNAMES:
