@@ -129,6 +129,21 @@ def test_languages(spark):
     assert language.mislabelled(df.limit(0)).count() == 0
 
 
+def test_every_worded_document_and_stretch_has_a_language(spark):
+    en, ru = "the old house stands near the river", "старый дом стоит у реки"
+    rows = [(i, SENTENCES[c], c) for i, c in enumerate(list(SENTENCES) * 12)]
+    rows += [(100, f"{en} {ru} and {en}.", None), (101, "House.", None), (102, f"stands near the river {ru[:-5]}.", None), (103, "你好 мир", None), (104, "你好", None), (105, "", None), (106, "404", None), (107, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {}
+    for r in language.segments(df).orderBy("doc_id", "position").collect():
+        got.setdefault(r.doc_id, []).append((r.words, r.language))
+        assert 0 <= r.confidence <= 1 and r.position == len(got[r.doc_id]) - 1
+    assert got[100] == [(7, "en"), (5, "ru"), (8, "en")] and got[102] == [(4, "en"), (4, "ru")] and len(got[101]) == 1 and got[104] == [(1, "und")]
+    assert set(got) == set(range(48)) | {100, 101, 102, 103, 104}
+    whole = {r.doc_id: r for r in language.documents_languages(df).collect()}
+    assert set(whole) == set(got) and whole[100].language == "en" and whole[101].confidence < whole[0].confidence and whole[104].confidence == 0
+
+
 def test_labels():
     assert language.named("en-US") == {"en"} and language.named(" DEU ") == {"de"} and language.named("und") is None and language.named("en, de") == {"en", "de"}
 

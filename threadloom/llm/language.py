@@ -2,15 +2,16 @@
 
 Script ranges narrow the candidates of each word; within a script a word's scores come from word
 counts and, for words not seen in training, from letter n-grams. Viterbi over the words of a text
-with a penalty for switching, which is smaller between sentences than within one, labels spans; a
-sentence is in the language that most of its words are labelled with.
+with a penalty for switching, which is smaller between sentences than within one, labels spans (``runs``). A
+sentence counts as whole in the language that most of its words are labelled with, if the evidence is
+enough (``Model.stretches``, for ``mislabelled`` only).
 
 The model is fitted at run time on at most ``TRAIN_DOCS`` labelled documents (a documented bound), whose
 labels are noisy: after a first fit by document label, sentences are labelled by the model itself and
 counted again. Every document is then classified whole.
 
 Defined results: null, empty and wordless texts have no language; words of scripts that no language
-here is written in decide nothing; ties go to the first language of ``LANGUAGES``; repeated rows give
+here is written in decide nothing, and a sentence of only such words is ``und``; ties go to the first language of ``LANGUAGES``; repeated rows give
 repeated results.
 """
 
@@ -31,6 +32,8 @@ TRAIN_DOCS = 6_000
 SWITCH_WITHIN, SWITCH_BETWEEN = 4.0, 1.0
 #: A sentence counts from this many words on, if its language leads by this much (log odds).
 LEAST_WORDS, LEAST_LEAD = 3, 3.0
+#: Label of sentences without a word in a script of the languages, with confidence 0.
+UNDETERMINED, _NONE = "und", -1
 # Names and codes of the languages, and words for "not known".
 SPELLINGS = {
     "en": "en eng english englisch inglés anglais", "de": "de deu ger german deutsch alemán allemand",
@@ -275,8 +278,72 @@ def mislabelled(documents: DataFrame, text: str = "text", lang: str = "lang", do
     return documents.select(doc_id, text, lang).mapInArrow(run, f"`{doc_id}` {dict(documents.dtypes)[doc_id]}, language string, confidence double")
 
 
+def _evidence(model: Model, words: list[str]) -> list[float]:
+    sums = [0.0] * len(LANGUAGES)
+    for word in words:
+        if e := model.scores(word):
+            sums = [x + y for x, y in zip(sums, e)]
+    return sums
+
+
+def _share(sums: list[float], lang: int) -> float:
+    """The language's share of the likelihood of all; even where nothing tells the languages apart."""
+    return 1 / sum(math.exp(min(700.0, s - sums[lang])) for s in sums)
+
+
+def runs(model: Model, text: str | None) -> list[tuple[int, str, float]]:
+    """(number of words, language, confidence) of each Viterbi run, in order; together they hold every word."""
+    if not text:
+        return []
+    parts = sentences(text)
+    out: list[tuple[list[str], int]] = []
+    for part, labels in zip(parts, model.label(parts)):
+        blind = not any(script(w) for w in part)
+        for word, lang in zip(part, labels):
+            lang = _NONE if blind else lang
+            if out and out[-1][1] == lang:
+                out[-1][0].append(word)
+            else:
+                out.append(([word], lang))
+    return [(len(ws), UNDETERMINED, 0.0) if lang == _NONE else (len(ws), LANGUAGES[lang], _share(_evidence(model, ws), lang)) for ws, lang in out]
+
+
+def main_language(model: Model, text: str | None) -> tuple[str, float] | None:
+    """The language of most words, and its confidence weighted with its share of the words; None without words."""
+    words: dict[str, int] = defaultdict(int)
+    sure: dict[str, float] = defaultdict(float)
+    for n, lang, c in runs(model, text):
+        words[lang] += n
+        sure[lang] += n * c
+    if not words:
+        return None
+    order = (*LANGUAGES, UNDETERMINED)
+    best = min(words, key=lambda w: (-words[w], order.index(w)))
+    return best, sure[best] / sum(words.values())
+
+
+def documents_languages(documents: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, language, confidence): one row for every document that has words."""
+    shared = documents.sparkSession.sparkContext.broadcast(trained(documents, text, lang, doc_id))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            done = [(i, found) for i, t in enumerate(batch.column(1).to_pylist()) if (found := main_language(model, t))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array([i for i, _ in done], pa.int64())), pa.array([f[0] for _, f in done], pa.string()), pa.array([f[1] for _, f in done], pa.float64())],
+                [doc_id, "language", "confidence"],
+            )
+
+    return documents.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {dict(documents.dtypes)[doc_id]}, language string, confidence double")
+
+
 def segments(documents: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, position, words, language, confidence): each stretch of one language, in order."""
+    """(doc_id, position, words, language, confidence): each stretch of one language, in order.
+
+    The stretches are the Viterbi runs, within sentences too; together they hold every word of a document.
+    Thin evidence drops no stretch, it lowers the confidence.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(trained(documents, text, lang, doc_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,14 +351,7 @@ def segments(documents: DataFrame, text: str = "text", lang: str = "lang", doc_i
         for batch in batches:
             at, place, size, codes, sure = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                merged: list[list] = []
-                for n, code, c in model.stretches(t):
-                    if merged and merged[-1][1] == code:
-                        merged[-1][0] += n
-                        merged[-1][2] = min(merged[-1][2], c)
-                    else:
-                        merged.append([n, code, c])
-                for k, (n, code, c) in enumerate(merged):
+                for k, (n, code, c) in enumerate(runs(model, t)):
                     at.append(i)
                     place.append(k)
                     size.append(n)

@@ -62,6 +62,12 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(table(spark, sf_dir, "documents"))
 
 
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document with words, with a confidence."""
+    ship(spark)
+    return language.documents_languages(table(spark, sf_dir, "documents"))
+
+
 _P9_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
@@ -73,6 +79,7 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 QUERIES: dict = {
     "p4_found": p4_found, "p4_redacted": p4_redacted, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip,
     "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_segments": p10_segments,
+    "p10_documents": p10_documents,
 }
 SQL: dict = {
     "p8_roundtrip": "SELECT doc_id, TRUE AS same FROM documents",
