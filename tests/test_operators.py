@@ -170,3 +170,37 @@ def test_text_functions(spark):
     assert one(spark.range(1).select(fx.fix_cids(F.lit("o(cid:64256)er(cid:9)")), fx.age_bin(F.lit(44)), fx.short_slug(F.lit("One, two three four five")), fx.title_of(F.lit(" "), F.lit("a/b.json"))))[:] == (
         "offer", "35-44", "one-two-three-four", "b",
     )
+
+
+def test_poisson_of_every_group_equals_single_fits(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, (a, b) in {"p": (1.0, 0.3), "q": (2.5, -0.4)}.items():
+        for u, v in rng.normal(size=(300, 2)):
+            rows.append((g, float(rng.poisson(np.exp(a + b * u + 0.1 * v))), float(u), float(v)))
+    rows += [("same", 3.0, 1.0, 1.0)] * 9 + [("p", 1.0, None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, y double, u double, v double")
+    got = {(r.g, r.term): (r.n, r.coefficient) for r in regression.poisson_by(df, "g", "y", ["u", "v"]).collect()}
+    assert {g for g, _ in got} == {"p", "q", "same"}
+    for g in "pq":
+        for term, value in regression.poisson(df.where(F.col("g") == g), "y", ["u", "v"]):
+            assert got[g, term][0] == 300 and math.isclose(got[g, term][1], value, abs_tol=1e-5)
+    assert {got["same", t] for t in ("intercept", "u", "v")} == {(9, None)}
+    assert regression.poisson_by(df.limit(0), "g", "y", ["u", "v"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["poisson_glm_fixed", "trajectory_mean_ci"])
+def test_every_annotation_has_a_result(spark, data, name):
+    from threadloom.plans import catalogue
+
+    ids = {r.annotation_id for r in catalogue.queries()[name](spark, data).select("annotation_id").distinct().collect()}
+    assert len(ids) == 24
+
+
+def test_pivot_of_every_annotation(spark, data):
+    from threadloom.plans import catalogue
+
+    df = catalogue.queries()["wide_pivot_all"](spark, data)
+    scores = [c for c in spark.read.parquet(f"{data}/preprocessed.parquet").columns if c.startswith("score__")]
+    assert set(df.columns) == {*model.KEY, *(c.removeprefix("score__") for c in scores)} and len(scores) == 24
+    assert df.count() == df.select(*model.KEY).distinct().count() > 0

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import staged
+
 
 def ols_binary(df: DataFrame, by: str, y: str, x: str, cluster: str) -> DataFrame:
     """y ~ 1 + x with cluster-robust SE, factor G/(G-1) * (n-1)/(n-2); null if x does not vary.
@@ -88,3 +91,55 @@ def poisson(df: DataFrame, y: str, features: list[str]) -> list[tuple[str, float
     data = VectorAssembler(inputCols=features, outputCol="features").transform(clean)
     fit = GeneralizedLinearRegression(family="poisson", link="log", maxIter=25).fit(data)
     return [("intercept", float(fit.intercept)), *zip(features, map(float, fit.coefficients))]
+
+
+def poisson_by(df: DataFrame, by: str, y: str, features: list[str], rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """(by, n, term, coefficient): one fixed-effects Poisson regression per group, all fitted together.
+
+    Reweighted least squares from sums: each round shuffles one row of weighted moments per group and
+    the driver solves one small system per group, so neither a group nor their number costs a job of its
+    own. Rows with nulls are left out; a group that does not determine its coefficients, or whose fit does
+    not settle, has null ones.
+    """
+    spark = df.sparkSession
+    terms = ["intercept", *features]
+    clean = staged(df.select(by, F.col(y).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).dropna(), "poisson")
+    x = [F.lit(1.0), *[F.col(f"`{f}`") for f in features]]
+    k = len(x)
+    upper = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def moments(rows: DataFrame, mu, eta) -> dict:
+        z = eta + (F.col("_y") - mu) / mu
+        sums = [F.sum(mu * x[a] * x[b]) for a, b in upper] + [F.sum(mu * x[a] * z) for a in range(k)]
+        return {r[0]: (r[1], [float(v) for v in r[2]]) for r in rows.groupBy(by).agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect()}
+
+    def solved(sums: list[float]) -> np.ndarray | None:
+        m, v = np.zeros((k, k)), np.array(sums[len(upper) :])
+        for (a, b), value in zip(upper, sums):
+            m[a, b] = m[b, a] = value
+        scale = np.sqrt(np.diag(m))
+        if not (np.isfinite(m).all() and np.isfinite(v).all() and (scale > 0).all()):
+            return None
+        scaled = m / np.outer(scale, scale)
+        return np.linalg.solve(scaled, v / scale) / scale if np.linalg.cond(scaled) < 1e12 else None
+
+    first = F.greatest(F.col("_y"), F.lit(0.1))
+    sums = moments(clean, first, F.log(first))
+    sizes = {g: n for g, (n, _) in sums.items()}
+    beta = {g: solved(s) for g, (_, s) in sums.items()}
+    open_ = {g for g, b in beta.items() if b is not None}
+    for _ in range(rounds):
+        if not open_:
+            break
+        now = spark.createDataFrame([(g, [float(v) for v in beta[g]]) for g in open_], f"_g {dict(df.dtypes)[by]}, _b array<double>")
+        eta = F.greatest(F.least(sum((F.col("_b")[a] * x[a] for a in range(k)), F.lit(0.0)), F.lit(200.0)), F.lit(-200.0))
+        rows = clean.join(now, F.col(by) == F.col("_g"))
+        for g, (_, s) in moments(rows, F.exp(eta), eta).items():
+            new = solved(s)
+            if new is None or np.abs(new - beta[g]).max() <= tolerance * (1 + np.abs(new).max()):
+                open_.discard(g)
+            beta[g] = new
+    for g in open_:
+        beta[g] = None
+    out = [(g, sizes[g], t, None if b is None else float(b[a])) for g, b in beta.items() for a, t in enumerate(terms)]
+    return spark.createDataFrame(out, f"`{by}` {dict(df.dtypes)[by]}, n bigint, term string, coefficient double")

@@ -64,10 +64,10 @@ def grid(series_: DataFrame, by: list[str], x: str, y: str, bins: int) -> DataFr
     return points.select(*by, "bin", value.alias("value"))
 
 
-def mean_curve(gridded: DataFrame, z: float = 1.96) -> DataFrame:
-    """Mean over series per bin with a sample-SE interval."""
+def mean_curve(gridded: DataFrame, by: list[str], z: float = 1.96) -> DataFrame:
+    """Mean over series per group and bin with a sample-SE interval."""
     half = F.coalesce(z * F.stddev_samp("value") / F.sqrt(F.count("*")), F.lit(0.0))
-    return gridded.groupBy("bin").agg(F.count("*").alias("series"), F.avg("value").alias("mean"), (F.avg("value") - half).alias("low"), (F.avg("value") + half).alias("high"))
+    return gridded.groupBy(*by, "bin").agg(F.count("*").alias("series"), F.avg("value").alias("mean"), (F.avg("value") - half).alias("low"), (F.avg("value") + half).alias("high"))
 
 
 def span_reached(positives: DataFrame, m: int, span: int) -> DataFrame:

@@ -128,10 +128,8 @@ query("length_effect_p_values")(
     lambda i: regression.p_value(regression.ols_binary(_length_sample(i), "annotation_id", "log_length", "hit", "participant")).select("annotation_id", "slope", "se", "p")
 )
 query("poisson_glm_fixed")(
-    lambda i: i.spark.createDataFrame(
-        regression.poisson(
-            rates.conversation_counts(i.scored.where("annotation_id = 'both-mentions-time'"), 0).join(windows.lengths(i.messages), ["participant", "source_path", "chat_index"]),
-            "length", ["positives", "first_pos", "last_pos"],
-        ), "term string, coefficient double",
+    lambda i: regression.poisson_by(
+        rates.conversation_counts(i.scored, 0).join(windows.lengths(i.messages), ["participant", "source_path", "chat_index"]),
+        "annotation_id", "length", ["positives", "first_pos", "last_pos"],
     )
 )

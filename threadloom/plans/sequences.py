@@ -44,7 +44,7 @@ SELECT participant, annotation_id, position, round(avg(hit) OVER (PARTITION BY p
     lambda i: _round(windows.series(i.scored.where("in_scope"), 50).select("participant", "annotation_id", "position", "rolling"), "rolling")
 )
 query("trajectory_mean_ci")(
-    lambda i: windows.mean_curve(windows.grid(windows.series(i.scored.where("annotation_id = 'both-mentions-time'"), 50), ["participant"], "position", "rolling", 50))
+    lambda i: windows.mean_curve(windows.grid(windows.series(i.scored, 50), ["annotation_id", "participant"], "position", "rolling", 50), ["annotation_id"])
 )
 query("span_reached", CTE + f""", p AS (SELECT annotation_id, {KEY_SQL} FROM scored WHERE is_pos AND in_scope),
 w AS (SELECT *, lead(message_index, 2) OVER (PARTITION BY annotation_id, {CONV_SQL} ORDER BY message_index) - message_index <= 10 AS close FROM p)
