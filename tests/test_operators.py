@@ -204,3 +204,13 @@ def test_pivot_of_every_annotation(spark, data):
     scores = [c for c in spark.read.parquet(f"{data}/preprocessed.parquet").columns if c.startswith("score__")]
     assert set(df.columns) == {*model.KEY, *(c.removeprefix("score__") for c in scores)} and len(scores) == 24
     assert df.count() == df.select(*model.KEY).distinct().count() > 0
+
+
+def test_terms_are_grams_without_stop_words(spark, data, tmp_path):
+    from threadloom.plans import catalogue
+
+    texts = ["The river house and the old bridge"] * 6 + ["An old river was there"] * 6 + ["the rare word"] * 4
+    spark.createDataFrame([(k, t, "memo") for k, t in enumerate(texts)], "doc_id bigint, text string, kind string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.term: r.weight for r in catalogue.queries()["tfidf_terms"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"river", "house", "old", "bridge", "river house", "house old", "old bridge", "old river"}
+    assert catalogue.queries()["kmeans_topics"](spark, data).count() > 10

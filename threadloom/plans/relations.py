@@ -11,6 +11,8 @@ from .base import CONV_SQL, CTE, KEY_SQL, Inputs
 QUERIES: dict = {}
 SQL: dict = {}
 KEYS = list(model.KEY)
+#: Terms of the TF-IDF vocabulary, the most used ones.
+VOCABULARY = 20_000
 
 
 def query(name: str, sql: str | None = None):
@@ -140,24 +142,39 @@ SELECT participant, label, n, round(p, 6) AS p, round(ln((p + 1e-9) / (q + 1e-9)
 
 @query("kmeans_topics")
 def _kmeans(i: Inputs):
-    """Cluster sizes of the embeddings (M10); labels are the engine's own."""
+    """Cluster sizes of the embeddings, the best of 10 starts (M10); labels are the engine's own."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = i.t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=10, seed=0, maxIter=20).fit(data).transform(data).groupBy(F.col("prediction").alias("topic")).agg(F.count("*").alias("members"))
+    data = data.cache()
+    try:
+        best = min((KMeans(k=100, seed=seed, maxIter=300).fit(data) for seed in range(10)), key=lambda m: m.summary.trainingCost)
+    finally:
+        data.unpersist()
+    return best.transform(data).groupBy(F.col("prediction").alias("topic")).agg(F.count("*").alias("members"))
 
 
 @query("tfidf_terms")
 def _tfidf(i: Inputs):
-    """Top terms per kind of document by mean smoothed TF-IDF over all documents."""
+    """Top 1-2 grams per kind of document by mean smoothed TF-IDF, each document of length 1 (M11, part of A45)."""
+    from pyspark.ml.feature import StopWordsRemover
+
     docs = i.t("documents").where("text IS NOT NULL")
     n = docs.agg(F.count("*").alias("docs"))
-    terms = docs.select("doc_id", "kind", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{3,})"), 1)).alias("term"))
+    stops = StopWordsRemover.loadDefaultStopWords("english")
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(\w\w+)\b"), 1), lambda w: ~w.isin(stops))
+    pairs = F.expr("transform(slice(words, 1, greatest(size(words) - 1, 0)), (w, k) -> concat(w, ' ', words[k + 1]))")
+    terms = docs.select("doc_id", "kind", words.alias("words")).select("doc_id", "kind", F.explode(F.concat("words", pairs)).alias("term"))
     tf = terms.groupBy("kind", "doc_id", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5").crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weights = tf.join(idf, "term").groupBy("kind", "term").agg(F.sum(F.col("tf") * F.col("idf")).alias("weight"))
-    return relations.per_group(weights, ["kind"], [F.desc(F.round("weight", 6)), F.col("term")], 15).withColumn("weight", F.round("weight", 6))
+    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses")).where("df >= 5").orderBy(F.desc("uses"), "term").limit(VOCABULARY)
+    idf = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weighed = tf.join(idf, "term").select("kind", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    lengths = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    sizes = docs.groupBy(F.col("kind").alias("_kind")).agg(F.count("*").alias("members"))
+    weights = weighed.join(lengths, "doc_id").groupBy("kind", "term").agg(F.sum(F.col("w") / F.col("length")).alias("total"))
+    mean = weights.join(sizes, F.col("kind").eqNullSafe(F.col("_kind"))).select("kind", "term", (F.col("total") / F.col("members")).alias("weight"))
+    return relations.per_group(mean, ["kind"], [F.desc(F.round("weight", 6)), F.col("term")], 15).withColumn("weight", F.round("weight", 6))
 
 
 @query("chat_tree_longest_path")
