@@ -180,6 +180,17 @@ def test_ordered_keeps_rows_without_place(spark):
     assert got == [(0, 0, "person", 1), (0, 1, "machine", 5), (0, 2, "person", 3), (0, 3, "machine", 4), (0, 4, "person", 6), (0, 5, "machine", 2)]
 
 
+
+def test_conversations_without_any_index_stay_apart(spark):
+    turns = [("a", 0, "user", "hi"), ("a", 1, "ai", "yes"), ("b", 0, "user", "hello"), ("b", 1, "ai", "no"), ("c", 0, "user", "alone")]
+    rows = [(n, "p", "f", None, place, role, str(1_700_000_000 + 60 * place), key, None, content, None, 1) for n, (key, place, role, content) in enumerate(turns)]
+    messages = spark.createDataFrame(rows, SCHEMA)
+    files = spark.createDataFrame([("f", None, "dmy")], "source_path string, clock_zone string, date_order string")
+    assert [(r.lost_chat, r.clash, r.no_reply) for r in conversations.broken(messages, files).collect()] == [("c", False, True)]
+    got = sorted((r.lost_chat, r.message_index, r.row_id) for r in conversations.ordered(messages, files).collect())
+    assert got == [("a", 0, 0), ("a", 1, 1), ("b", 0, 2), ("b", 1, 3)]
+
+
 def test_no_conversations(spark):
     files = spark.createDataFrame([], "source_path string, clock_zone string, date_order string")
     assert conversations.broken(spark.createDataFrame([], SCHEMA), files).count() == 0

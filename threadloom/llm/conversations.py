@@ -1,7 +1,8 @@
 """Rebuilding conversations from message rows and finding the unusable ones (problem 6).
 
 Defined results: a row whose chat_index is null belongs to the conversation its chat_key is linked to,
-directly or over other rows; where no row of the component bears an index it stays null. Rows without
+directly or over other rows; where no row of the component bears an index it stays null and ``lost_chat``,
+the chat_key, tells these conversations of a file apart (null for all others). Rows without
 message_index fill free places by their instants (see ``broken``). Null content has no visible text and
 equals blank content. Repeated rows agree with themselves. An empty table has no conversations.
 """
@@ -26,7 +27,7 @@ MACHINE = (
     "asistente modelo maquina máquina assistent assistentin maschine modell ki ia modèle"
 ).split()
 SYSTEM = ["system", "sistema", "systeme", "système"]
-CONVERSATION = ("participant", "source_path", "chat_index")
+CONVERSATION = ("participant", "source_path", "chat_index", "lost_chat")
 
 
 def speaker(role: Column) -> Column:
@@ -49,7 +50,7 @@ def rebuilt(messages: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("content"), F.lit(""))
     base = staged(
         messages.select(
-            "row_id", *CONVERSATION, "chat_key", "message_index", "timestamp", "ingested_at",
+            "row_id", "participant", "source_path", "chat_index", "chat_key", "message_index", "timestamp", "ingested_at",
             speaker(F.col("role")).alias("speaker"), visible(F.col("content")).alias("visible"),
             code(folded(text)).alias("text_code"), record_code(text).alias("record_code"),
         ),
@@ -57,7 +58,7 @@ def rebuilt(messages: DataFrame) -> DataFrame:
     )
     lost = base.where("chat_index is null")
     if lost.isEmpty():
-        return base
+        return base.withColumn("lost_chat", F.lit(None).cast("string"))
     index_node = F.concat_ws("\u0001", "participant", "source_path", F.lit("0"), F.format_string("%012d", "chat_index"))
     key_node = F.concat_ws("\u0001", "participant", "source_path", F.lit("1"), "chat_key")
     # Only files with lost rows can matter: their links are few beside all links.
@@ -71,7 +72,8 @@ def rebuilt(messages: DataFrame) -> DataFrame:
     home = components(links).where(F.col("node").contains("\u00011\u0001") & F.col("component").contains("\u00010\u0001"))
     home = home.select(F.col("node").alias("_node"), F.element_at(F.split("component", "\u0001"), -1).cast("int").alias("_index"))
     found = lost.withColumn("_node", key_node).join(home, "_node", "left").withColumn("chat_index", F.col("_index")).drop("_node", "_index")
-    return base.where("chat_index is not null").unionByName(found)
+    # A key that is linked to no index is a component of its own.
+    return base.where("chat_index is not null").unionByName(found).withColumn("lost_chat", F.when(F.col("chat_index").isNull(), F.col("chat_key")))
 
 
 def broken(messages: DataFrame, files: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations to be dropped."""
     ship(spark)
     bad = conversations.broken(table(spark, sf_dir, "messages"), table(spark, sf_dir, "transcript_files"))
-    return bad.select("participant", "source_path", "chat_index")
+    return bad.select("participant", "source_path", "chat_index").distinct()
 
 
 def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
