@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from threadloom.llm import catalogue
@@ -24,3 +26,12 @@ def test_columns_and_distinct_rows(spark, data, name):
     assert df.columns == COLUMNS[name]
     if name != "p8_ids":
         assert df.count() == df.distinct().count()
+
+
+def test_log_odds_of_every_pair(spark, data):
+    rows = QUERIES["p1_odds"](spark, data).collect()
+    assert len(rows) == QUERIES["p1_pairs"](spark, data).count() > 0
+    for r in rows:
+        b, c = max(r.n_x * max(r.k, 1) - r.c_k, 0) + 0.5, max(r.n_y - r.c_k, 0) + 0.5
+        d = max(r.scored_y - r.n_x - r.n_y + r.c_k, 0) + 0.5
+        assert abs(r.log_odds - math.log((r.c_k + 0.5) * d / (b * c))) < 1e-5

@@ -38,10 +38,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, enrichment and corrected log odds of every ordered pair."""
+    """Counts and enrichment of every ordered pair; ``p1_odds`` has the corrected log odds."""
     return _pair_table(spark, sf_dir).select("k", "x", "y", "n_x", "c_k", F.round("enrichment", 6).alias("enrichment"))
 
 
+def p1_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log odds ratio, with 0.5 added to each cell, of every ordered pair."""
+    return _pair_table(spark, sf_dir).select("k", "x", "y", "n_x", "n_y", "scored_y", "c_k", F.round("log_odds", 6).alias("log_odds"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose right answer is yes."""
     per_item, _ = consensus.consensus(table(spark, sf_dir, "manual_labels"), table(spark, sf_dir, "manual_items"))
@@ -117,7 +122,7 @@ e AS (SELECT c.k, c.x, c.y, px.n AS n_x, c.c_k, (c.c_k / px.n::DOUBLE) / (py.n /
 """
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_odds": p1_odds, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found,
     "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ordered": p6_ordered,
     "p7_sample": p7_sample,
 }
