@@ -266,3 +266,31 @@ def test_latest_answer_holds(spark):
     empty = spark.createDataFrame([], LABELS)
     per_item, raters = consensus.consensus(empty, spark.createDataFrame([("d", 1, "p", "x")], ITEMS))
     assert [r.consensus for r in per_item.collect()] == [None] and raters.count() == 0
+
+
+def test_consensus_with_yes_sayers(spark):
+    """Annotators who nearly always say yes must not raise the share of yes."""
+    import datetime as dt
+
+    rng = np.random.default_rng(11)
+    rates = {"a": (0.95, 0.04), "b": (0.92, 0.06), "c": (0.9, 0.08), "d": (0.97, 0.88), "e": (0.97, 0.3), "f": (0.5, 0.5), "g": (0.22, 0.76)}
+    truth = rng.random(800) < np.where(np.arange(800) % 2, 0.2, 0.5)
+    rows = []
+    for i, z in enumerate(truth):
+        for who in rng.choice(list(rates), 5, replace=False):
+            y = rng.random() < rates[who][0 if z else 1]
+            rows.append((len(rows), str(who), "d", i, "p", f"x{i % 2}", "yes" if y else "no", dt.datetime(2025, 1, 1), 0.0))
+    items = spark.createDataFrame([("d", i, "p", f"x{i % 2}") for i in range(800)], ITEMS)
+    per_item, raters = consensus.consensus(spark.createDataFrame(rows, LABELS), items)
+    got = np.array([r.consensus == "yes" for r in per_item.orderBy("sequence_index").collect()])
+    assert got[truth].mean() > 0.93 and truth[got].mean() > 0.93
+    leaning = {r.annotator: r.leaning for r in raters.collect()}
+    assert leaning["d"] > 1.5 and abs(leaning["a"]) < 0.6
+
+
+def test_consensus_that_does_not_come_to_rest_is_an_error(spark):
+    import datetime as dt
+
+    rows = [(k, a, "d", k, "p", "x", w, dt.datetime(2025, 1, 1), 0.0) for k in range(9) for a, w in (("a", "yes"), ("b", "no" if k % 3 else "yes"))]
+    with pytest.raises(RuntimeError):
+        consensus.consensus(spark.createDataFrame(rows, LABELS), spark.createDataFrame([("d", k, "p", "x") for k in range(9)], ITEMS), rounds=2, tolerance=1e-9)
