@@ -23,11 +23,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of ``edges`` (two columns of one orderable type).
 
     Null ends and self links carry no information and are dropped; repeated links count once. The
     least node names its component. Links stay distributed: the driver sees only two sums per round.
+    The rounds needed grow with the logarithm of the longest path; more than ``max_rounds`` is an error.
     """
     a, b = edges.columns[:2]
     now = staged(
@@ -40,4 +41,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
+    else:
+        raise RuntimeError(f"components are still changing after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

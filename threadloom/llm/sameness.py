@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import staged
+from .components import components
 
 _IGNORED = r"[\p{P}\p{Z}\p{C}$+<=>^`|~]+"
 _FIELD = r"[\p{L}_][\p{L}\p{N}_ .\-]{0,39}"
@@ -24,7 +25,7 @@ MIN_LETTERS = 30
 
 
 def folded(text: Column) -> Column:
-    """Letters and digits only, in one letter case; sharp s has no single capital and equals ss."""
+    """Without white space, controls and punctuation, in one letter case; sharp s has no single capital and equals ss."""
     return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _IGNORED, "")
 
 
@@ -67,6 +68,24 @@ def coded(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("row
     return rows.select(*keep, code(folded(F.col("_c"))).alias("text_code"), record_code(F.col("_c")).alias("record_code"))
 
 
+def _grouped(codes: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The dictionary with group_code: the record's code where the text is a record, else the text's.
+
+    One text may be read as several records (``a b=c; d=e`` and ``a=b c; d=e``), which makes these the
+    same group; such records are joined as components, whose links are few.
+    """
+    several = dictionary.where("record_code <> other")
+    plain = dictionary.withColumn("group_code", F.coalesce("record_code", "text_code")).drop("record_code", "other")
+    if several.isEmpty():
+        return plain
+    links = (
+        codes.where("record_code is not null").join(several.select("text_code", F.col("record_code").alias("least")), "text_code")
+        .select("least", "record_code").where("least <> record_code").distinct()
+    )
+    home = components(links)
+    return plain.join(home, plain["group_code"] == home["node"], "left").withColumn("group_code", F.coalesce("component", "group_code")).drop("node", "component")
+
+
 def copies(df: DataFrame, content: str = "content", row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """(codes, entries): coded rows, and per repeated text code its group's first row and number of copies.
 
@@ -77,12 +96,11 @@ def copies(df: DataFrame, content: str = "content", row_id: str = "row_id") -> t
     codes = staged(coded(df.select(F.col(row_id).alias("row_id"), F.col(content).alias("content"))), "codes")
     dictionary = (
         codes.groupBy("text_code")
-        .agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n"), F.min("record_code").alias("record_code"))
+        .agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n"), F.min("record_code").alias("record_code"), F.max("record_code").alias("other"))
         .where("n > 1 or record_code is not null")
-        .withColumn("group_code", F.coalesce("record_code", "text_code"))
-        .drop("record_code")
     )
     dictionary = staged(dictionary, "dictionary")
+    dictionary = _grouped(codes, dictionary)
     groups = dictionary.groupBy("group_code").agg(F.min("first_row_id").alias("first_row_id"), F.sum("n").alias("copies")).where("copies > 1")
     entries = dictionary.select("text_code", "group_code").join(groups, "group_code").select("text_code", "first_row_id", "copies")
     return codes, staged(entries, "entries")
