@@ -102,6 +102,23 @@ def test_leaks_equal_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items) and len(got) == len(brute(docs, items))
 
 
+@pytest.mark.parametrize("run", [12, 24, 25, 26, 40])
+def test_leaks_of_any_run_and_of_one_repeated_word(run):
+    item = [f"w{k}" for k in range(60)]
+    index = contamination.Index([(1, item), (2, ["echo"] * 60)], run)
+    for at in range(0, 60 - run, 7):
+        assert index.leaks(["x"] * (at * 3) + item[at : at + run] + ["y"] * 9) == {1: 1}
+        assert index.leaks(["x"] * at + item[at : at + run - 1] + ["y"] * 50) == {}
+    assert index.leaks(["echo"] * run) == {2: 1} and index.leaks(["echo"] * (run - 1)) == {}
+
+
+def test_answers_beside_leaks(spark):
+    hits = spark.createDataFrame([(1, 7, 3), (1, 7, 3), (2, 8, 1), (2, 9, 1)], "doc_id bigint, item_id bigint, runs int")
+    documents = spark.createDataFrame([(1, "So: Yes, the blue FERRY."), (2, "nothing"), (3, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "blue ferry"), (8, "yes"), (9, None)], "item_id bigint, answer string")
+    assert {tuple(r) for r in contamination.answered(hits, documents, items).collect()} == {(1, 7, 3, True), (2, 8, 1, False), (2, 9, 1, None)}
+
+
 def test_leaks_of_several_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(contamination, "BLOCK_ITEMS", 1)
     text = " ".join(f"t{k}" for k in range(20))

@@ -8,8 +8,9 @@ holds such a run scores at least that. Retrieved items are then verified word by
 
 Defined results: words are runs of letters and digits, case-folded; null, empty and wordless texts
 hold nothing; items shorter than ``run`` words cannot leak; copies of an item are found under each id;
-repeated documents give one row per id. Items are indexed in blocks of at most ``BLOCK_ITEMS``, so
-what is broadcast has a fixed bound whatever the number of items.
+repeated documents give one row per id. Items are indexed in blocks of at most ``BLOCK_ITEMS`` items and
+``BLOCK_CHARS`` characters (one item alone may exceed the latter), so what is broadcast and indexed at
+once has a bound whatever the number of items; each block costs one scan of the text column.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 RUN = 12
 PASSAGE = 24
-BLOCK_ITEMS = 4_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 #: Items longer than this many characters are indexed in pieces that overlap by ``run - 1`` words.
 PIECE_WORDS = 2_000
 _POSTINGS = 16
@@ -142,14 +144,12 @@ class Index:
 
     def leaks(self, w: list[str]) -> dict[int, int]:
         """item id to the number of its runs that stand in the words of a document."""
-        run, step = self.run, PASSAGE - self.run + 1
+        run, size = self.run, max(PASSAGE, 2 * self.run)
         found: dict[int, set[str]] = {}
         known = self.terms
-        for begin in range(0, len(w) - run + 1, step):
-            passage = w[begin : begin + PASSAGE]
+        for begin in range(0, len(w) - run + 1, size - run + 1):
+            passage = w[begin : begin + size]
             terms = {t for t in passage if t in known}
-            if len(terms) < 2:
-                continue
             for d in self.retrieve(terms):
                 grams = self.grams[d]
                 for i in range(len(passage) - run + 1):
@@ -159,6 +159,29 @@ class Index:
         return {k: len(v) for k, v in found.items()}
 
 
+_MADE: dict[str, Index] = {}
+
+
+def _indexed(name: str, items: list[tuple[int, list[str]]], run: int) -> Index:
+    """The block's index, built once per Python worker."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Index(items, run)
+    return _MADE[name]
+
+
+def answered(hits: DataFrame, documents: DataFrame, items: DataFrame, text: str = "text", answer: str = "answer", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """``hits`` with ``answer_seen``: every word of the item's answer stands in the document, too; null without an answer.
+
+    Only documents with hits are split into words.
+    """
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    said = documents.select(doc_id, F.col(text).alias("_text")).join(hits.select(doc_id).distinct(), doc_id, "left_semi").select(doc_id, split(F.col("_text")).alias("_words")).distinct()
+    asked = items.groupBy(item_id).agg(split(F.max(answer)).alias("_answer"))
+    seen = F.when(F.size("_answer") > 0, F.size(F.array_except("_answer", "_words")) == 0)
+    return hits.distinct().join(said, doc_id).join(asked, item_id).select(*hits.columns, seen.alias("answer_seen"))
+
+
 def leaked(documents: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", run: int = RUN) -> DataFrame:
     """(doc_id, item_id, runs): documents that hold at least ``run`` consecutive words of an item.
 
@@ -170,12 +193,13 @@ def leaked(documents: DataFrame, items: DataFrame, text: str = "text", doc_id: s
     rows = documents.select(doc_id, text)
     out: DataFrame | None = None
     block: list[tuple[int, list[str]]] = []
+    held = 0
 
     def scan(part: list[tuple[int, list[str]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(part)
+        shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, run)
+            index = _indexed(name, shared.value, run)
             for batch in batches:
                 at, ids, runs = [], [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
@@ -189,9 +213,10 @@ def leaked(documents: DataFrame, items: DataFrame, text: str = "text", doc_id: s
 
     chosen = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t"))
     for r in chosen.toLocalIterator():
+        if block and (len(block) >= BLOCK_ITEMS or held + len(r.t) > BLOCK_CHARS):
+            out, block, held = (scan(block) if out is None else out.unionByName(scan(block))), [], 0
         block.append((r.i, words(r.t)))
-        if len(block) >= BLOCK_ITEMS:
-            out, block = (scan(block) if out is None else out.unionByName(scan(block))), []
+        held += len(r.t)
     if block or out is None:
         out = scan(block) if out is None else out.unionByName(scan(block))
     return out

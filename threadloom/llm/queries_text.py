@@ -50,6 +50,13 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 
+def p9_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leak with the number of distinct runs of twelve words and whether the answer stands in the document, too."""
+    ship(spark)
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return contamination.answered(contamination.leaked(documents, items), documents, items)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the documents whose label is missing, wrong or too narrow."""
     ship(spark)
@@ -78,11 +85,15 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 
 QUERIES: dict = {
     "p4_found": p4_found, "p4_redacted": p4_redacted, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip,
-    "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_segments": p10_segments,
+    "p9_found": p9_found, "p9_report": p9_report, "p9_answers": p9_answers, "p10_found": p10_found, "p10_segments": p10_segments,
     "p10_documents": p10_documents,
 }
 SQL: dict = {
     "p8_roundtrip": "SELECT doc_id, TRUE AS same FROM documents",
     "p9_found": _P9_SQL + "SELECT doc_id, item_id FROM hit",
+    "p9_answers": _P9_SQL + """, runs AS (SELECT doc_id, item_id, CAST(count(*) AS INT) AS runs FROM dg JOIN eg USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, runs, CASE WHEN len(regexp_extract_all(lower(a.answer), '[\\p{L}\\p{N}]+')) > 0
+  THEN list_has_all(d.w, regexp_extract_all(lower(a.answer), '[\\p{L}\\p{N}]+')) END AS answer_seen
+FROM runs JOIN d USING (doc_id) JOIN eval_items a USING (item_id)""",
     "p9_report": _P9_SQL + "SELECT item_id, count(*) AS documents FROM hit GROUP BY item_id",
 }
