@@ -80,6 +80,18 @@ def test_sameness_groups(spark):
     assert sameness.repeats(df.limit(0)).count() == 0
 
 
+def test_sameness_of_one_text_read_as_several_records(spark):
+    tail = "quiet hills and a long river; d=25 minutes of calm"
+    rows = [f"a b=c {tail}", f"a=b c {tail}", f"d=25 minutes of calm; a b=c quiet hills and a long river", f"d=25 minutes of calm; a=b c quiet hills and a long river", f"a=b d {tail}"]
+    df = spark.createDataFrame(list(enumerate(rows, 1)), "row_id bigint, content string")
+    assert {(r.first_row_id, r.row_id) for r in sameness.repeats(df).collect()} == {(1, 2), (1, 3), (1, 4)}
+
+
+def test_components_that_keep_changing_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(k, k + 1) for k in range(64)], "a bigint, b bigint"), max_rounds=1)
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000 + k) for k in range(1, 80)] * 2

@@ -72,6 +72,7 @@ def rebuilt(messages: DataFrame) -> DataFrame:
     home = components(links).where(F.col("node").contains("\u00011\u0001") & F.col("component").contains("\u00010\u0001"))
     home = home.select(F.col("node").alias("_node"), F.element_at(F.split("component", "\u0001"), -1).cast("int").alias("_index"))
     found = lost.withColumn("_node", key_node).join(home, "_node", "left").withColumn("chat_index", F.col("_index")).drop("_node", "_index")
+    found = staged(found.select(*base.columns), "found")
     # A key that is linked to no index is a component of its own.
     return base.where("chat_index is not null").unionByName(found).withColumn("lost_chat", F.when(F.col("chat_index").isNull(), F.col("chat_key")))
 
@@ -94,16 +95,17 @@ def _broken(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame | N
     places = (
         rows.groupBy(*conv, "message_index", "text_code")
         .agg(
-            F.max("record_code").alias("record_code"),
+            F.min("record_code").alias("record_code"),
+            F.max("record_code").alias("other"),
             F.max(F.col("speaker").isNull()).alias("nobody"),
             F.max((F.col("speaker") == "machine") & ~F.col("visible")).alias("mute"),
             F.max((F.col("speaker") == "person") & F.col("visible")).alias("asked"),
             F.max(F.when(F.col("visible") & (F.col("speaker") != "system"), F.col("speaker"))).alias("said_by"),
         )
-        .withColumn("g", F.coalesce("record_code", "text_code"))
+        .withColumns({"g": F.coalesce("record_code", "text_code"), "h": F.coalesce("other", "text_code")})
         .groupBy(*conv, "message_index")
         .agg(
-            (F.min("g") != F.max("g")).alias("clash"),
+            ((F.min("g") != F.max("g")) & (F.min("h") != F.max("h"))).alias("clash"),
             *[F.max(c).alias(c) for c in ("nobody", "mute", "asked", "said_by")],
         )
     )
@@ -156,14 +158,24 @@ def _timed(rows: DataFrame, files: DataFrame) -> DataFrame | None:
     return staged(timed, "timed")
 
 
+def _instants(timed: DataFrame) -> DataFrame:
+    """Per conversation and text the distinct instants of rows that lack message_index; copies share a group.
+
+    Labels differ in precision, so instants less than a minute after the one before them are copies.
+    """
+    conv = list(CONVERSATION)
+    distinct = timed.where("message_index is null and t is not null").groupBy(*conv, "text_code", "t").agg(F.max("speaker").alias("speaker"), F.max("visible").alias("visible"))
+    order = Window.partitionBy(*conv, "text_code").orderBy("t")
+    fresh = F.coalesce(F.col("t") - F.lag("t").over(order) >= 60, F.lit(True))
+    return distinct.withColumn("fresh", fresh.cast("int")).withColumn("copy", F.sum("fresh").over(order)).drop("fresh")
+
+
 def _bare(timed: DataFrame) -> DataFrame:
     """Per conversation the texts with an instant t but no message_index that need a place of their own."""
     conv = list(CONVERSATION)
     has_index = timed.where("message_index is not null")
     # A copy of a row that has its index needs no place of its own; copies of each other share one.
-    bare = timed.where("message_index is null and t is not null").groupBy(*conv, "text_code", F.expr("t div 60").alias("minute")).agg(
-        F.max("t").alias("t"), F.max("speaker").alias("speaker"), F.max("visible").alias("visible")
-    )
+    bare = _instants(timed).groupBy(*conv, "text_code", "copy").agg(F.max("t").alias("t"), F.max("speaker").alias("speaker"), F.max("visible").alias("visible"))
     b, i = bare.alias("b"), has_index.where("t is not null").select(*conv, "text_code", F.col("t").alias("ti")).alias("i")
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"i.{c}")) for c in (*conv, "text_code")]
     return b.join(i, [*same, F.abs(F.col("b.t") - F.col("i.ti")) < 60], "left_anti")
@@ -201,7 +213,8 @@ def _placed(timed: DataFrame) -> DataFrame:
     conv = list(CONVERSATION)
     on = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*conv, *more)]
     has_index = timed.where("message_index is not null")
-    lacking = timed.where("message_index is null").withColumn("minute", F.expr("t div 60"))
+    lacking = timed.where("message_index is null")
+    lacking = lacking.alias("l").join(_instants(timed).alias("n"), on("l", "n", "text_code", "t"), "left").select("l.*", "n.copy")
     taken = has_index.where("message_index >= 0").select(*conv, "message_index").distinct()
     by_place = Window.partitionBy(*conv).orderBy("message_index")
     # Free places as ranges: from, how many, and how many are free before them.
@@ -222,13 +235,13 @@ def _placed(timed: DataFrame) -> DataFrame:
                 F.coalesce(F.col("b.t") > F.col("t_max"), F.lit(False)).alias("later"))
         .withColumn("free", F.col("top") + 1 - F.col("held"))
     )
-    ranked = bare.withColumn("rank", F.row_number().over(Window.partitionBy(*conv, "later").orderBy("t", "text_code", "minute")) - 1)
+    ranked = bare.withColumn("rank", F.row_number().over(Window.partitionBy(*conv, "later").orderBy("t", "text_code", "copy")) - 1)
     ranked = ranked.withColumn("fills", ~F.col("later") & (F.col("rank") < F.col("free")))
-    behind = Window.partitionBy(*conv, "fills").orderBy("t", "text_code", "minute")
+    behind = Window.partitionBy(*conv, "fills").orderBy("t", "text_code", "copy")
     ranked = ranked.withColumn("tail", F.col("top") + F.row_number().over(behind))
     own = (
         ranked.alias("r").join(gaps.alias("g"), [*on("r", "g"), F.col("r.fills"), F.col("r.rank") >= F.col("g.before"), F.col("r.rank") < F.col("g.before") + F.col("g.size")], "left")
-        .select("r.text_code", *[f"r.{c}" for c in conv], "r.minute", F.when(F.col("r.fills"), F.col("g.start") + F.col("r.rank") - F.col("g.before")).otherwise(F.col("r.tail")).alias("own"))
+        .select("r.text_code", *[f"r.{c}" for c in conv], "r.copy", F.when(F.col("r.fills"), F.col("g.start") + F.col("r.rank") - F.col("g.before")).otherwise(F.col("r.tail")).alias("own"))
     )
     # Copies of an indexed row are within a minute of it, as in ``_bare``.
     copies = (
@@ -236,7 +249,7 @@ def _placed(timed: DataFrame) -> DataFrame:
         .groupBy("l.row_id").agg(F.min_by("i.message_index", F.struct(F.abs(F.col("l.t") - F.col("i.t")), "i.message_index")).alias("copied"))
     )
     told = (
-        lacking.alias("l").join(own.alias("o"), on("l", "o", "text_code", "minute"), "left").select("l.*", "own").join(copies, "row_id", "left")
+        lacking.alias("l").join(own.alias("o"), on("l", "o", "text_code", "copy"), "left").select("l.*", "own").join(copies, "row_id", "left")
         .withColumn("place", F.coalesce("copied", "own"))
     )
     one = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship, table
+from ..runtime import ship, staged, table
 from . import consensus, conversations, pairs, reservoir, sameness
 
 
@@ -26,7 +26,7 @@ def _pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda n: F.col(f"`score__{n}`")
     items = F.array_compact(F.array(*[F.when(score(n) >= known[n], i) for i, n in enumerate(names) if known.get(n) is not None]))
     scored = F.array_compact(F.array(*[F.when(score(n).isNotNull() & ~F.isnan(score(n)), i) for i, n in enumerate(names)]))
-    tallies = pairs.counts(rows, ["participant", "source_path", "chat_index"], "message_index", items, scored, WINDOW)
+    tallies = staged(pairs.counts(rows, ["participant", "source_path", "chat_index"], "message_index", items, scored, WINDOW), "tallies")
     return pairs.enrichment(tallies, spark.createDataFrame(list(enumerate(names)), "item int, name string"), WINDOW)
 
 
