@@ -1,5 +1,7 @@
+import collections
 import os
 
+import numpy as np
 import pytest
 
 from threadloom.llm import bpe, contamination, language, pii
@@ -175,3 +177,36 @@ def test_held_out_language_accuracy(data):
     held = [(language._languages(model, t), c) for t, c in rows[len(rows) // 2 :]]
     held = [(set(s), c) for s, c in held if s]
     assert sum(c in s for s, c in held) / len(held) > 0.9  # labels themselves are wrong for some per cent
+
+
+def test_batched_viterbi_equals_every_path():
+    """Labels of texts of many lengths, read together and alone, score as the best of all paths."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    model = language.Model({i: collections.Counter() for i in range(len(language.LANGUAGES))})
+    size = np.array([0, 1, 2, 3, 4, 4, 3, 2, 1, 0, 4, 3, 2, 1, 4, 4, 3, 4, 2, 4, 4])
+    emitted = -4 * rng.random((size.sum(), len(language.LANGUAGES))) ** 2
+    emitted[:, 3:] = -9.0
+    opens = rng.random(size.sum()) < 0.4
+    got, at = model.labels(emitted, opens, size), 0
+    for n in size:
+        e, o = emitted[at : at + n], opens[at : at + n]
+
+        def value(path):
+            moves = sum((language.SWITCH_BETWEEN if o[k] else language.SWITCH_WITHIN) for k in range(1, n) if path[k] != path[k - 1])
+            return sum(e[k][s] for k, s in enumerate(path)) - moves
+
+        best = max(map(value, itertools.product(range(3), repeat=int(n))))
+        assert abs(value(got[at : at + n]) - best) < 1e-9
+        if n:
+            assert (model.labels(e, o, np.array([n])) == got[at : at + n]).all()
+        at += n
+
+
+def test_stretches_can_be_located(spark):
+    text = "Der Hund läuft heute nicht mehr durch den Garten. The dog is running through the garden now and it is happy.\nok"
+    df = spark.createDataFrame([(k, "The dog is running through the garden now and it is happy" if k % 2 else "Der Hund läuft heute nicht mehr durch den Garten", "en" if k % 2 else "de") for k in range(40)] + [(99, text, None), (100, None, None), (101, "x" * 30_000 + " \u65e5\u672c", "en")], "doc_id bigint, text string, lang string")
+    got = language.segments(df).where("doc_id = 99").orderBy("position").collect()
+    assert [r.language for r in got][:2] == ["de", "en"] and text[got[0].begins : got[0].ends] == text[: text.index(".")]
+    assert text[got[1].begins :].startswith("The dog") and sum(r.words for r in got) == 22
