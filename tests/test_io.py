@@ -27,7 +27,7 @@ def test_tree_paths():
 def test_transcripts(spark, tmp_path):
     (tmp_path / "hl_01").mkdir()
     (tmp_path / "hl_01/a.json").write_text(json.dumps([{"title": "T", "mapping": TREE}]))
-    (tmp_path / "hl_01/b.json").write_text(json.dumps({"messages": [{"role": "User", "content": "x"}, {"role": "bot", "content": " "}, {"content": {"k": 1}, "ts": 5}]}))
+    (tmp_path / "hl_01/b.json").write_text(json.dumps({"messages": [{"role": "User", "content": "x"}, {"role": "bot", "content": " "}, {"content": {"k": 1}, "create_time": 0, "metadata": {"update_time": 5}}]}))
     (tmp_path / "hl_01/c.json").write_text("{not json")
     got = {(r.source_path, r.message_index): (r.participant, r.role, r.content, r.timestamp) for r in readers.transcripts(spark, str(tmp_path)).collect()}
     assert got[("hl_01/a.json", 1)] == ("hl_01", "assistant", "two\nx", None)

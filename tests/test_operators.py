@@ -152,23 +152,23 @@ def test_longest_path(spark):
     edges = {1: None, 2: 1, 3: 2, 4: 1, 5: 4, 6: 5, 7: 8, 8: 7}
     df = spark.createDataFrame([("t", k, v, k, int(k != 5)) for k, v in edges.items()], "tree string, node int, parent int, rank int, turn int")
     got = one(transcripts.longest_path(df))
-    assert got.turns == 3 and got.leaf in (3, 6)
+    assert got.turns == 3 and got.leaf == 3  # the first of two with three turns
 
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("Él dijo  HOLA mundo, ok", ["hola MUNDO", "  ", "nope", "dijo hola"])], "c string, m array<string>")
     r = one(df.select(fx.unmatched_quotes(F.col("m"), F.col("c")).alias("u"), fx.matched_quotes(F.col("m"), F.col("c")).alias("k")))
     assert r.u == ["nope"] and r.k == ["hola MUNDO", "dijo hola"]
-    r = one(spark.createDataFrame([('<think>hm</think> {"score": 11.6, "matches": ["a"]}',), ("no",), ('{"score": }',), (None,)], "t string").select(fx.response(F.col("t")).alias("r")))
+    r = one(spark.createDataFrame([('<think>hm</think> {"score": 11.6, "quotes": ["a", " "]}',), ("no",), ('{"score": }',), (None,)], "t string").select(fx.response(F.col("t")).alias("r")))
     assert r.r.score == 10 and r.r.matches == ["a"]
     parts = [F.lit(p) for p in ("a b", "f/x", "1", "2", "id|z")]
     enc = fx.encode_id(*parts)
     r = one(spark.range(1).select(enc.alias("e"), fx.decode_id(enc).alias("d"), fx.decode_id(F.lit("a|b")).alias("bad")))
     assert r.e == "a%20b|f%2Fx|1|2|id%7Cz" and r.d == ["a b", "f/x", "1", "2", "id|z"] and r.bad is None
     r = one(spark.createDataFrame([("a\r\n\r\n\n\nb\f",)], "t string").select(fx.normalize_text(F.col("t"))))
-    assert r[0].rstrip() == "a\n\nb"
-    assert one(spark.range(1).select(fx.fix_cids(F.lit("o(cid:64256)er(cid:9)")), fx.age_bin(F.lit(44)), fx.short_slug(F.lit("One, two three four five")), fx.title_of(F.lit(" "), F.lit("a/b.json"))))[:] == (
-        "offer", "35-44", "one-two-three-four", "b",
+    assert r[0] == "a\n\nb"
+    assert one(spark.range(1).select(fx.fix_cids(F.lit("o(cid:431)er(cid:9)")), fx.age_bin(F.lit(44)), fx.short_slug(F.lit("One, two three four five")), fx.title_of(F.lit(" "), F.lit("a/b.json"))))[:] == (
+        "offer(cid:9)", "40-49", "one-two-three-four", "b",
     )
 
 

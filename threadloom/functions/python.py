@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import unicodedata
 
 import pandas as pd
@@ -85,3 +86,29 @@ def without_margins(pages: DataFrame, doc: str = "doc_id", page: str = "page", t
     kept = marked.join(margins.withColumn("drop", F.lit(True)), [doc, "margin"], "left").where("drop IS NULL")
     joined: Column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
     return pages.select(doc, page).join(kept.groupBy(doc, page).agg(joined.alias(text)), [doc, page], "left").withColumn(text, F.coalesce(text, F.lit("")))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _contents(texts: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            stack = [json.loads(text)] if text is not None else []
+        except ValueError:
+            return []
+        out = []
+        while stack:
+            node = stack.pop()
+            if isinstance(node, dict):
+                if isinstance(node.get("content"), str):
+                    out.append(node["content"])
+                stack.extend(reversed([v for k, v in node.items() if not (k == "content" and isinstance(v, str))]))
+            elif isinstance(node, list):
+                stack.extend(reversed(node))
+        return out
+
+    return texts.map(one)
+
+
+def json_contents(df: DataFrame, text: str) -> DataFrame:
+    """One row per string under a key ``content``, at any depth of the JSON in ``text`` (F40); malformed text has none."""
+    return df.withColumn("content", F.explode(_contents(F.col(text))))

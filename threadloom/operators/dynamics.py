@@ -94,3 +94,25 @@ def effects(p: Column, q: Column) -> dict[str, Column]:
 def baseline_within(p: Column, k: int) -> Column:
     """Chance of at least one in k independent tries."""
     return 1 - F.pow(1 - p, F.lit(k))
+
+
+def log_matrix(pairs: DataFrame, k: str, x: str, y: str, value: str) -> DataFrame:
+    """log2 of ``value`` for every k and every two ids of the table, 0 where it is absent or not above 0, and for k = 0 on the diagonal.
+
+    The result has a row per cell of a matrix, so ids are labels, never records.
+    """
+    ids = pairs.select(F.col(x).alias("_i")).union(pairs.select(y)).where("_i IS NOT NULL").distinct()
+    cells = pairs.select(k).distinct().join(ids.withColumnRenamed("_i", x)).join(ids.withColumnRenamed("_i", y))
+    known = pairs.groupBy(k, x, y).agg(F.max(value).alias("_v"))
+    off = ~((F.col(k) == 0) & (F.col(x) == F.col(y)))
+    return cells.join(known, [k, x, y], "left").select(k, x, y, F.when(off & (F.col("_v") > 0), F.log2("_v")).otherwise(0.0).alias("value"))
+
+
+def triple_panel(windowed: DataFrame) -> DataFrame:
+    """Per x and y every z with P(z | x), P(z | x, y), the change and its place by size of change, ties by name."""
+    one = pair_counts(windowed)
+    base = one.select("x", F.col("y").alias("z"), (F.col("successes") / F.col("trials")).alias("given_x"))
+    three = triples(windowed).where("z <> y").select("x", "y", "z", (F.col("successes") / F.col("trials_xy")).alias("given_xy"))
+    both = three.join(base, ["x", "z"]).withColumn("change", F.col("given_xy") - F.col("given_x"))
+    place = F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc(F.round(F.abs("change"), 9)), "z"))
+    return both.withColumn("place", place).select("x", "y", "z", "given_x", "given_xy", "change", "place")

@@ -133,3 +133,21 @@ def enrichment_entropy(df: DataFrame, group: str, topic: str) -> DataFrame:
     total = overall.agg(F.sum("tn").alias("alln"))
     s = c.join(overall, topic).crossJoin(F.broadcast(total)).withColumns({"p": p, "q": F.col("tn") / F.col("alln")})
     return s.select(group, topic, "n", "p", F.ln((F.col("p") + 1e-9) / (F.col("q") + 1e-9)).alias("enrichment"), (-F.sum(F.col("p") * F.ln("p")).over(g)).alias("entropy"))
+
+
+def updated(rows: DataFrame, news: DataFrame, on: list[str], column: str) -> DataFrame:
+    """Rows with ``column`` from ``news`` where that has a value (J18); ``news`` has one row per key."""
+    return rows.join(news.select(*on, F.col(column).alias("_new")), on, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def score_maps(wide: DataFrame) -> DataFrame:
+    """(key, scores): one map of annotation id to score per message, unscored ones left out."""
+    names = [c for c in wide.columns if c.startswith("score__")]
+    cells = F.filter(F.array(*[F.struct(F.lit(n.removeprefix("score__")).alias("k"), F.col(f"`{n}`").alias("v")) for n in names]), lambda e: e["v"].isNotNull() & ~F.isnan(e["v"]))
+    return wide.select(*KEY, cells.alias("_c")).groupBy(*KEY).agg(F.max("_c").alias("_c")).where("size(_c) > 0").select(*KEY, F.map_from_entries("_c").alias("scores"))
+
+
+def first_wins(rows: DataFrame, other: DataFrame, on: list[str], column: str, order: str) -> DataFrame:
+    """Rows with the first value of ``other`` by ``order``, and whether there were several."""
+    first = other.groupBy(*on).agg(F.min_by(column, order).alias(column), (F.count("*") > 1).alias("repeated"))
+    return rows.join(first, on, "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))

@@ -25,16 +25,33 @@ def participant_stats(messages: DataFrame) -> DataFrame:
     return total.withColumn("participant", F.coalesce("participant", F.lit("TOTAL")))
 
 
-def ordering_types(messages: DataFrame, least: float = 0.9) -> DataFrame:
-    """full_dated, global_order, conversation_only or unknown by coverage of labels and indices."""
-    return messages.groupBy("participant").agg(
-        F.avg(F.col("timestamp").isNotNull().cast("double")).alias("ts"), F.avg(F.col("chat_date").isNotNull().cast("double")).alias("dates"),
-        F.avg(F.col("message_index").isNotNull().cast("double")).alias("places"), F.count_distinct("source_path").alias("files"),
-    ).select(
-        "participant",
-        F.when((F.col("ts") >= least) | (F.col("dates") >= least), "full_dated").when((F.col("places") >= least) & (F.col("files") == 1), "global_order")
-        .when(F.col("places") >= least, "conversation_only").otherwise("unknown").alias("ordering_type"),
-    )
+def ordering_of_records(records: DataFrame, least: float = 0.9) -> DataFrame:
+    """Ordering class and flags of each participant by coverage.
+
+    full_dated where at least ``least`` of the messages have a time or of the conversations a date, then
+    global_order where messages have an index, else conversation_only. A message sent again counts once.
+    """
+    filled = lambda name: F.trim(F.coalesce(name, F.lit(""))) != ""
+    chats = records.where("participant IS NOT NULL AND source_path IS NOT NULL AND chat_index IS NOT NULL")
+    by_message = chats.where("message_index IS NOT NULL").groupBy(*KEY).agg(F.max(filled("timestamp")).alias("t"))
+    m = by_message.groupBy("participant").agg(F.count("*").alias("messages"), F.avg(F.col("t").cast("int")).alias("ts"))
+    c = chats.groupBy(*CONVERSATION).agg(F.max(filled("chat_date")).alias("d")).groupBy("participant").agg(F.avg(F.col("d").cast("int")).alias("dates"))
+    ts, dates, n = (F.coalesce(x, F.lit(0)) for x in ("ts", "dates", "messages"))
+    kind = F.when(((ts >= least) & (ts > 0)) | ((dates >= least) & (dates > 0)), "full_dated").when(n > 0, "global_order").otherwise("conversation_only")
+    return c.join(m, "participant", "left").select(
+        "participant", kind.alias("ordering_type"), (ts > 0).alias("has_timestamps"), (dates > 0).alias("has_conversation_dates"), (n > 0).alias("has_message_indices")
+    )
+
+
+def ordering_of_transcripts(messages: DataFrame) -> DataFrame:
+    """Ordering class of each participant by its files (A37): any date makes full_dated, else one file makes
+    global_order, else conversation_only; unknown without messages. A label that is not blank is a date here."""
+    dated = (F.trim(F.coalesce("timestamp", F.lit(""))) != "") | (F.trim(F.coalesce("chat_date", F.lit(""))) != "")
+    per = messages.where("participant IS NOT NULL").groupBy("participant").agg(
+        F.count_if(F.col("chat_index").isNotNull() & F.col("message_index").isNotNull()).alias("n"), F.max(dated).alias("dated"), F.count_distinct("source_path").alias("files")
+    )
+    kind = F.when(F.col("n") == 0, "unknown").when(F.col("dated"), "full_dated").when(F.col("files") == 1, "global_order").otherwise("conversation_only")
+    return per.select("participant", kind.alias("ordering_type"))
 
 
 def daily(df: DataFrame, ts: str, kind: str, kinds: list[str]) -> DataFrame:
@@ -51,38 +68,38 @@ def alternation(messages: DataFrame) -> DataFrame:
     ).select(*CONVERSATION, ((F.col("length") >= 2) & (F.coalesce(F.col("first_role"), F.lit("")) == "user") & (F.col("repeats") == 0)).alias("valid"))
 
 
-def longest_path(nodes: DataFrame, max_depth: int = 100_000) -> DataFrame:
-    """(tree, node): the root-to-leaf path with the most scoring turns of every tree.
+def longest_path(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, turns): the root-to-leaf path with the most scoring turns of every tree.
 
-    Top-down: path scores grow level by level with one equi-join per level, doubling the reach of each
-    node's known ancestor chain, so log2(depth) rounds suffice; nodes on a cycle never reach a root and
-    drop out. ``nodes`` has tree, node, parent, rank (order among siblings), turn (0/1).
+    ``nodes`` has tree, node, parent, rank (order among siblings), turn (0/1); of leaves with equal turns the one
+    met first in the order of siblings wins. Every node's known chain of ancestors doubles per round, one
+    equi-join each, so as many rounds run as the depth of the deepest tree has binary digits. Nodes on a
+    cycle never reach a root: they are those still open when chains as long as all nodes were followed, and drop out.
+    The order of siblings is compared by the ranks at the forks of the path, so a chain carries none.
     """
     from ..runtime import staged
 
     # up: the ancestor reached so far; gain: turns from the node up to, not including, that ancestor.
-    state = staged(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("turn").cast("bigint").alias("gain"), F.lit(1).alias("depth")), "paths")
-    rounds, reach = 0, 1
-    while reach < max_depth:
+    fork = F.when(F.count("*").over(Window.partitionBy("tree", "parent")) > 1, F.array("rank")).otherwise(F.array().cast("array<int>"))
+    state = staged(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("turn").cast("bigint").alias("gain"), fork.alias("ranks")), "paths")
+    known = nodes.select("tree", F.col("node").alias("up"))
+    longest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach <= longest:
+        still = state.join(known, ["tree", "up"], "left_semi").agg(F.count("*")).first()[0]
+        if not still:
+            break
         a, b = state.alias("a"), state.alias("b")
         state = staged(
             a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left").select(
-                F.col("a.tree").alias("tree"), F.col("a.node").alias("node"),
-                F.when(F.col("b.node").isNull(), F.col("a.up")).otherwise(F.col("b.up")).alias("up"),
-                (F.col("a.gain") + F.coalesce("b.gain", F.lit(0))).alias("gain"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
+                F.col("a.tree").alias("tree"), F.col("a.node").alias("node"), F.when(F.col("b.node").isNull(), F.col("a.up")).otherwise(F.col("b.up")).alias("up"),
+                (F.col("a.gain") + F.coalesce("b.gain", F.lit(0))).alias("gain"), F.concat(F.coalesce("b.ranks", F.array().cast("array<int>")), F.col("a.ranks")).alias("ranks"),
             ), "paths",
         )
         reach *= 2
-        rounds += 1
-        open_ = state.alias("s").join(nodes.select("tree", F.col("node").alias("up")).alias("n"), ["tree", "up"], "left_semi").agg(F.count("*")).first()[0]
-        if not open_:
-            break
-        if rounds > 20:
-            break
-    rooted = state.join(nodes.select("tree", F.col("node").alias("up")), ["tree", "up"], "left_anti")
+    rooted = state.join(known, ["tree", "up"], "left_anti")
     leaves = rooted.join(nodes.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    best = leaves.groupBy("tree").agg(F.max_by("node", F.struct("gain", -F.col("depth"), F.hash("node"))).alias("leaf"), F.max("gain").alias("turns"))
-    return best
+    return leaves.groupBy("tree").agg(F.min_by("node", F.struct(-F.col("gain"), F.col("ranks"))).alias("leaf"), F.max("gain").alias("turns"))
 
 
 def with_roles(messages: DataFrame) -> DataFrame:

@@ -197,3 +197,26 @@ def sequence_points(messages: DataFrame) -> DataFrame:
     conv = Window.partitionBy(*CONVERSATION)
     slot = F.dense_rank().over(Window.partitionBy("participant").orderBy("source_path", "chat_index")) - 1
     return messages.withColumn("x", slot + (F.row_number().over(conv.orderBy("message_index")) - 1) / F.count("*").over(conv))
+
+
+def top_curves(series_: DataFrame, who: str, label: str, group: str, x: str, y: str, n: int) -> DataFrame:
+    """The n groups of each ``who`` with the largest area under their summed curves, zero outside a curve's own range.
+
+    Curves are interpolated at all places of ``who``. The sum of a straight piece over the places inside it needs only
+    their number and their sum, which prefix counts give, so no curve is unfolded: two aggregations and one window per curve.
+    """
+    places = series_.select(who, x).distinct()
+    order = Window.partitionBy(who).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = places.select(who, x, F.count("*").over(order).alias("k"), F.sum(F.col(x).cast("double")).over(order).alias("s"))
+    curve = Window.partitionBy(who, label).orderBy(x)
+    at = series_.join(prefix, [who, x])
+    pieces = at.select(
+        who, group, F.col(x).cast("double").alias("x0"), F.col(y).alias("y0"), "k", "s",
+        F.lead(F.col(x).cast("double")).over(curve).alias("x1"), F.lead(y).over(curve).alias("y1"), F.lead("k").over(curve).alias("k1"), F.lead("s").over(curve).alias("s1"),
+    )
+    inside, total = F.col("k1") - 1 - F.col("k"), F.col("s1") - F.col("x1") - F.col("s")
+    slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
+    area = F.col("y0") + F.when(F.col("x1").isNotNull() & (inside > 0), inside * F.col("y0") + slope * (total - inside * F.col("x0"))).otherwise(0.0)
+    sums = pieces.withColumn("_a", area).groupBy(who, group).agg(F.round(F.sum("_a"), 6).alias("area"))
+    rank = F.row_number().over(Window.partitionBy(who).orderBy(F.desc("area"), group))
+    return sums.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import agreement, rates, relations, sequences, timestamps
+from . import agreement, rates, records, relations, scalars, sequences, timestamps
 
-MODULES = (timestamps, rates, sequences, agreement, relations)
+MODULES = (timestamps, rates, sequences, agreement, relations, scalars, records)
 
 
 def queries() -> dict:

@@ -99,10 +99,17 @@ c AS (SELECT {CONV_SQL}, count(*) AS length, sum(length(coalesce(content, '')))
  sum(CASE WHEN trim(regexp_replace(coalesce(content, ''), '[\\s\\x0b\\x{{a0}}]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content, '[\\s\\x0b\\x{{a0}}]+', ' ', 'g')), ' ')) END) AS words FROM t GROUP BY ALL)
 SELECT coalesce(participant, 'TOTAL') AS participant, count(*) AS conversations, CAST(sum(length) AS BIGINT) AS messages, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(words) AS BIGINT) AS words,
  max(length) AS longest, quantile_cont(length, 0.5) AS median_length FROM c GROUP BY GROUPING SETS ((participant), ())""")(lambda i: transcripts.participant_stats(i.t("messages")))
-query("ordering_types", """WITH a AS (SELECT participant, avg(CASE WHEN "timestamp" IS NOT NULL THEN 1 ELSE 0 END) AS ts, avg(CASE WHEN chat_date IS NOT NULL THEN 1 ELSE 0 END) AS dates,
- avg(CASE WHEN message_index IS NOT NULL THEN 1 ELSE 0 END) AS places, count(DISTINCT source_path) AS files FROM messages GROUP BY 1)
-SELECT participant, CASE WHEN ts >= 0.9 OR dates >= 0.9 THEN 'full_dated' WHEN places >= 0.9 AND files = 1 THEN 'global_order' WHEN places >= 0.9 THEN 'conversation_only' ELSE 'unknown' END AS ordering_type FROM a""")(
-    lambda i: transcripts.ordering_types(i.t("messages"))
+query("ordering_types", """WITH f AS (SELECT participant, count(DISTINCT source_path) AS files, bool_or(trim(coalesce("timestamp", '')) <> '' OR trim(coalesce(chat_date, '')) <> '') AS dated,
+ count(*) FILTER (chat_index IS NOT NULL AND message_index IS NOT NULL) AS n FROM messages GROUP BY 1)
+SELECT participant, CASE WHEN n = 0 THEN 'unknown' WHEN dated THEN 'full_dated' WHEN files = 1 THEN 'global_order' ELSE 'conversation_only' END AS ordering_type FROM f""")(
+    lambda i: transcripts.ordering_of_transcripts(i.t("messages"))
+)
+query("ordering_of_records", f"""WITH m AS (SELECT {KEY_SQL}, bool_or(trim(coalesce("timestamp", '')) <> '') AS t FROM messages WHERE chat_index IS NOT NULL AND message_index IS NOT NULL GROUP BY ALL),
+c AS (SELECT {CONV_SQL}, bool_or(trim(coalesce(chat_date, '')) <> '') AS d FROM messages WHERE chat_index IS NOT NULL GROUP BY ALL),
+a AS (SELECT participant, count(*) AS n, avg(t::INT) AS ts FROM m GROUP BY 1), b AS (SELECT participant, count(*) AS k, avg(d::INT) AS dates FROM c GROUP BY 1)
+SELECT participant, CASE WHEN coalesce(ts, 0) >= 0.9 OR coalesce(dates, 0) >= 0.9 THEN 'full_dated' WHEN coalesce(n, 0) > 0 THEN 'global_order' ELSE 'conversation_only' END AS ordering_type,
+ coalesce(ts, 0) > 0 AS has_timestamps, coalesce(dates, 0) > 0 AS has_conversation_dates, coalesce(n, 0) > 0 AS has_message_indices FROM a FULL JOIN b USING (participant)""")(
+    lambda i: transcripts.ordering_of_records(i.t("messages"))
 )
 query("daily_counts", """SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS "view" FROM events GROUP BY 1""")(
     lambda i: transcripts.daily(i.t("events"), "ts", "event_type", ["click", "view"])
@@ -115,11 +122,17 @@ query("context_lengths", CTE + f""", n AS (SELECT count(*) OVER (PARTITION BY {C
 SELECT CAST(size AS INT) AS size, count(*) AS messages FROM n GROUP BY 1""")(
     lambda i: windows.preceding_range(i.messages, 3).groupBy(F.size("before").alias("size")).agg(F.count("*").alias("messages"))
 )
-query("text_normalise", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\r\n?|\f', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS clean FROM documents""")(
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+query("text_normalise", rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(12), chr(10) || chr(10)), '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}|{_WS}$', '', 'g') AS clean FROM documents""")(
     lambda i: i.t("documents").select("doc_id", fx.normalize_text(F.col("text")).alias("clean"))
 )
-query("interface_detect", r"""SELECT row_id, CASE WHEN contains(lower(content), 'chatgpt') THEN 'chatgpt' WHEN contains(lower(content), 'claude') THEN 'claude'
- WHEN contains(lower(content), 'gemini') OR regexp_matches(lower(content), '\bbard\b') THEN 'gemini' ELSE 'unknown' END AS interface FROM messages""")(
+query("interface_detect", r"""WITH m AS (SELECT row_id, lower(content) AS t FROM messages)
+SELECT row_id, CASE WHEN regexp_matches(t, '\bchat history\b') AND regexp_matches(t, 'chatgpt said:') THEN 'chatgpt' WHEN regexp_matches(t, '\bchatgpt (can make mistakes|says:)') THEN 'chatgpt'
+ WHEN regexp_matches(t, '(?m)^#####\s+\*\*you said:\*\*') AND regexp_matches(t, '######\s+\*\*chatgpt said:\*\*') THEN 'chatgpt'
+ WHEN regexp_matches(t, '(?m)^\s*(human|user)\s*:\s') AND regexp_matches(t, '(?m)^\s*(assistant|claude)\s*:\s') THEN 'claude'
+ WHEN regexp_matches(t, '(?m)^###\s*(human|user)\b') AND regexp_matches(t, '(?m)^###\s*(assistant|claude)\b') THEN 'claude'
+ WHEN regexp_matches(t, '(?m)^\s*#{1,6}\s*(you|me)\b.*\n') AND regexp_matches(t, '(?m)^\s*#{1,6}\s*(gemini|assistant)\b.*\n') THEN 'gemini'
+ WHEN regexp_matches(t, '\b(gemini says:|model:\s*gemini)\b') THEN 'gemini' WHEN t IS NOT NULL THEN 'unknown' END AS interface FROM m""")(
     lambda i: i.t("messages").select("row_id", fx.interface_of(F.col("content")).alias("interface"))
 )
 query("slugs", r"""SELECT DISTINCT chat_key, regexp_replace(regexp_replace(chat_key, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM messages""")(
@@ -177,13 +190,22 @@ def _tfidf(i: Inputs):
     return relations.per_group(mean, ["kind"], [F.desc(F.round("weight", 6)), F.col("term")], 15).withColumn("weight", F.round("weight", 6))
 
 
-@query("chat_tree_longest_path")
+_TREE = CTE + """, n AS (SELECT participant || '|' || source_path || '|' || chat_index AS tree, message_index + 1 AS node, nullif((message_index + 1) // 2, 0) AS parent, message_index AS rank,
+ CASE WHEN role IN ('user', 'assistant') AND message_index % 5 <> 3 THEN 1 ELSE 0 END AS turn FROM msg WHERE participant IS NOT NULL),
+w AS (WITH RECURSIVE up AS (SELECT tree, node, parent, turn AS gain, [rank] AS ranks FROM n UNION ALL
+ SELECT u.tree, u.node, p.parent, u.gain + p.turn, list_prepend(p.rank, u.ranks) FROM up u JOIN n p ON p.tree = u.tree AND p.node = u.parent) SELECT * FROM up),
+r AS (SELECT w.* FROM w LEFT JOIN n p ON p.tree = w.tree AND p.node = w.parent WHERE p.node IS NULL),
+l AS (SELECT r.* FROM r LEFT JOIN n k ON k.tree = r.tree AND k.parent = r.node WHERE k.node IS NULL)
+SELECT tree, CAST(arg_min(node, (-gain, ranks)) AS INT) AS leaf, max(gain) AS turns FROM l GROUP BY tree"""
+
+
+@query("chat_tree_longest_path", _TREE)
 def _tree(i: Inputs):
     """Longest path of reply trees made of each conversation: message n answers message n // 2."""
     m = i.messages.where("participant IS NOT NULL")
     tree = F.concat_ws("|", "participant", "source_path", "chat_index")
     nodes = m.select(
         tree.alias("tree"), (F.col("message_index") + 1).alias("node"), F.nullif(F.floor((F.col("message_index") + 1) / 2).cast("int"), F.lit(0)).alias("parent"),
-        F.col("message_index").alias("rank"), F.col("role").isin("user", "assistant").cast("int").alias("turn"),
+        F.col("message_index").alias("rank"), (F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)) & (F.col("message_index") % 5 != 3)).cast("int").alias("turn"),
     )
-    return transcripts.longest_path(nodes.withColumn("turn", F.coalesce("turn", F.lit(0))))
+    return transcripts.longest_path(nodes)

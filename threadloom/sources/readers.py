@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import TIME_KEYS
+
 RECORD = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("participant", T.StringType()), T.StructField("ppt_id", T.StringType()),
     T.StructField("source_path", T.StringType()), T.StructField("chat_index", T.IntegerType()), T.StructField("message_index", T.IntegerType()),
@@ -72,6 +74,19 @@ def family_glob(root: str, stem: str) -> list[str]:
     return [f"{root.rstrip('/')}/{stem}.jsonl", f"{root.rstrip('/')}/{stem}__part-[0-9][0-9][0-9][0-9].jsonl"]
 
 
+def best_timestamp(candidate: object) -> str | None:
+    """The first usable time of a message or chat by ``TIME_KEYS``, else that of its metadata, at any depth."""
+    while isinstance(candidate, dict):
+        for key in TIME_KEYS:
+            value = candidate.get(key)
+            if isinstance(value, str) and value.strip():
+                return value.strip()
+            if isinstance(value, (int, float)) and not isinstance(value, bool) and value > 0:
+                return str(value)
+        candidate = candidate.get("metadata")
+    return None
+
+
 def _text_of(message: dict) -> str:
     content = message.get("content") or {}
     if isinstance(content, str):
@@ -130,8 +145,7 @@ def linearise(mapping: dict, current: str | None = None, strategy: str = "longes
     for key in reversed(path):
         message = mapping[key].get("message")
         if _visible(message):
-            stamp = message.get("create_time")
-            out.append({"role": message["author"]["role"].lower(), "content": _text_of(message), "timestamp": None if not stamp else str(stamp)})
+            out.append({"role": message["author"]["role"].lower(), "content": _text_of(message), "timestamp": best_timestamp(message)})
     return out
 
 
@@ -156,11 +170,10 @@ def _chats(text: str, strategy: str) -> list[dict]:
             for m in chat.get("messages") or []:
                 if isinstance(m, dict):
                     content = m.get("content")
-                    stamp = next((m[k] for k in ("timestamp", "create_time", "created_at", "time", "date", "ts") if m.get(k)), None)
+                    stamp = best_timestamp(m)
                     content = content if isinstance(content, str) or content is None else json.dumps(content, ensure_ascii=False)
-                    messages.append({"role": str(m.get("role") or "unknown").lower(), "content": content, "timestamp": None if stamp is None else str(stamp)})
-        label = chat.get("date_label") or chat.get("create_time") or chat.get("date")
-        out.append({"key": chat.get("title") or chat.get("key"), "date_label": None if label is None else str(label), "messages": messages})
+                    messages.append({"role": str(m.get("role") or "unknown").lower(), "content": content, "timestamp": stamp})
+        out.append({"key": chat.get("title") or chat.get("key"), "date_label": chat.get("date_label") or best_timestamp(chat), "messages": messages})
     return out
 
 
