@@ -80,6 +80,9 @@ def longest_path(nodes: DataFrame) -> DataFrame:
     from ..runtime import staged
 
     # up: the ancestor reached so far; gain: turns from the node up to, not including, that ancestor.
+    # A stated parent that is not there makes a root, and roots are each other's siblings.
+    there = nodes.select("tree", F.col("node").alias("parent"), F.col("node").alias("_p"))
+    nodes = nodes.join(there, ["tree", "parent"], "left").withColumn("parent", F.col("_p")).drop("_p")
     fork = F.when(F.count("*").over(Window.partitionBy("tree", "parent")) > 1, F.array("rank")).otherwise(F.array().cast("array<int>"))
     state = staged(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("turn").cast("bigint").alias("gain"), fork.alias("ranks")), "paths")
     known = nodes.select("tree", F.col("node").alias("up"))

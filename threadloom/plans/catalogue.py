@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import agreement, rates, records, relations, scalars, sequences, timestamps
+from . import agreement, files, rates, records, relations, scalars, sequences, timestamps
 
-MODULES = (timestamps, rates, sequences, agreement, relations, scalars, records)
+MODULES = (timestamps, rates, sequences, agreement, relations, scalars, records, files)
 
 
 def queries() -> dict:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import agreement, dynamics, model, rates, records, regression, relations, windows  # noqa: F401
+from ..operators import dynamics, model, rates, records, regression, relations, small, windows
 from .base import CONV_SQL, CTE, KEY_SQL, Inputs
 from .scalars import _SQUASH, _TOKENS
 
@@ -275,3 +276,31 @@ v AS (SELECT participant, category, sum(CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1
 SELECT participant, category, round(area, 6) AS area FROM v QUALIFY row_number() OVER (PARTITION BY participant ORDER BY round(area, 6) DESC, category) <= 12""")(
     lambda i: windows.top_curves(windows.series(i.scored.where("in_scope"), 50), "participant", "annotation_id", "category", "position", "rolling", 12)
 )
+query("prompts", """SELECT annotation_id, 'Is ' || annotation_id || ' (' || array_to_string(scope, '/') || ')' || CASE WHEN is_harmful THEN ' harmful' ELSE '' END || '? {open}' AS prompt FROM annotations""")(
+    lambda i: i.t("annotations").select("annotation_id", fx.prompt("Is {id} ({scope}){harm}? {open}", id=c("annotation_id"), scope=F.array_join("scope", "/"), harm=F.when(c("is_harmful"), " harmful")).alias("prompt"))
+)
+query("pseudonyms", """SELECT DISTINCT participant, 'PERSON_' || substr(sha256('PERSON|' || lower(participant)), 1, 8) AS pseudonym FROM messages""")(
+    lambda i: i.t("messages").select("participant", fx.pseudonym("PERSON", F.upper("participant")).alias("pseudonym")).distinct()
+)
+query("packed_requests", """WITH RECURSIVE o AS (SELECT annotation_id, cutoff + length(annotation_id) AS cost, row_number() OVER (ORDER BY annotation_id) AS n FROM cutoffs),
+w AS (SELECT n, annotation_id, cost, cost <= 300 AS fits, 300 - CASE WHEN cost <= 300 THEN cost ELSE 0 END AS room FROM o WHERE n = 1
+ UNION ALL SELECT o.n, o.annotation_id, o.cost, o.cost <= w.room, w.room - CASE WHEN o.cost <= w.room THEN o.cost ELSE 0 END FROM w JOIN o ON o.n = w.n + 1) SELECT annotation_id, CAST(cost AS INT) AS cost, fits FROM w""")(lambda i: _packed(i))
+
+
+def _packed(i: Inputs):
+    """Requests, one per annotation, that fit a budget; their number is that of the annotations."""
+    rows = i.t("cutoffs").select("annotation_id", (c("cutoff") + F.length("annotation_id")).alias("cost")).orderBy("annotation_id").collect()
+    return i.spark.createDataFrame([(r.annotation_id, r.cost, f) for r, f in zip(rows, small.packed([r.cost for r in rows], 300))], "annotation_id string, cost int, fits boolean")
+
+
+@query("heatmap_order")
+def _heatmap(i: Inputs):
+    """Order of the labels by Ward clustering of their rows of log2 enrichment at every K (M06, M07), and by average linkage."""
+    cells = dynamics.log_matrix(i.t("sequence_pairs"), "K", "X", "Y", "enrichment_K").orderBy("X", "K", "Y").collect()
+    names = sorted({r.X for r in cells})
+    table: dict[str, list[float]] = {n: [] for n in names}
+    for r in cells:
+        table[r.X].append(r.value)
+    features = np.array([table[n] for n in names])
+    places = {m: {k: p for p, k in enumerate(small.leaf_order(features, m))} for m in ("ward", "average")}
+    return i.spark.createDataFrame([(n, places["ward"][k], places["average"][k]) for k, n in enumerate(names)], "annotation_id string, ward int, average int")

@@ -43,8 +43,16 @@ query("participant_series", CTE + """, s AS (SELECT participant, annotation_id,
 SELECT participant, annotation_id, position, round(avg(hit) OVER (PARTITION BY participant, annotation_id ORDER BY position ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS rolling FROM s""")(
     lambda i: _round(windows.series(i.scored.where("in_scope"), 50).select("participant", "annotation_id", "position", "rolling"), "rolling")
 )
-query("trajectory_mean_ci")(
-    lambda i: windows.mean_curve(windows.grid(windows.series(i.scored, 50), ["annotation_id", "participant"], "position", "rolling", 50), ["annotation_id"])
+query("trajectory_mean_ci", CTE + """, s0 AS (SELECT participant, annotation_id, dense_rank() OVER (PARTITION BY participant ORDER BY source_path, chat_index, message_index) - 1 AS position, CASE WHEN is_pos THEN 1.0::DOUBLE ELSE 0.0 END AS hit FROM scored),
+s AS (SELECT participant, annotation_id, position, avg(hit) OVER (PARTITION BY participant, annotation_id ORDER BY position ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS y FROM s0),
+u AS (SELECT *, CASE WHEN max(position) OVER w > min(position) OVER w THEN (position - min(position) OVER w) / (max(position) OVER w - min(position) OVER w)::DOUBLE ELSE 0.0 END AS u FROM s WINDOW w AS (PARTITION BY participant, annotation_id)),
+b AS (SELECT DISTINCT participant, annotation_id, CAST(k AS INT) AS bin, k / 49.0::DOUBLE AS x FROM u, range(50) r(k)),
+l AS (SELECT b.*, p.u AS u0, p.y AS y0 FROM b ASOF JOIN u p ON p.participant = b.participant AND p.annotation_id = b.annotation_id AND b.x >= p.u),
+r AS (SELECT l.*, p.u AS u1, p.y AS y1 FROM l ASOF LEFT JOIN u p ON p.participant = l.participant AND p.annotation_id = l.annotation_id AND l.x <= p.u),
+v AS (SELECT annotation_id, participant, bin, CASE WHEN u1 IS NULL OR u1 = u0 THEN y0 ELSE y0 + (y1 - y0) * (x - u0) / (u1 - u0) END AS value FROM r)
+SELECT annotation_id, bin, count(*) AS series, round(avg(value), 6) AS mean, round(avg(value) - coalesce(1.96 * stddev_samp(value) / sqrt(count(*)), 0), 6) AS low,
+ round(avg(value) + coalesce(1.96 * stddev_samp(value) / sqrt(count(*)), 0), 6) AS high FROM v GROUP BY annotation_id, bin""")(
+    lambda i: _round(windows.mean_curve(windows.grid(windows.series(i.scored, 50), ["annotation_id", "participant"], "position", "rolling", 50), ["annotation_id"]), "mean", "low", "high")
 )
 query("span_reached", CTE + f""", p AS (SELECT annotation_id, {KEY_SQL} FROM scored WHERE is_pos AND in_scope),
 w AS (SELECT *, lead(message_index, 2) OVER (PARTITION BY annotation_id, {CONV_SQL} ORDER BY message_index) - message_index <= 10 AS close FROM p)

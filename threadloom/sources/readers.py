@@ -7,7 +7,8 @@ small specification files whose size is a parameter of the call.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,13 +178,13 @@ def _chats(text: str, strategy: str) -> list[dict]:
     return out
 
 
-def transcripts(spark: SparkSession, root: str, strategy: str = "longest") -> DataFrame:
+def transcripts(spark: SparkSession, root: str, strategy: str = "longest", pattern: str = "*.json") -> DataFrame:
     """Rows of all transcript files below a folder: key columns, role, content, labels.
 
     message_index is the place before blank messages are dropped, so gaps are possible. Files are read
     whole by the executors; order never depends on the listing.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -194,18 +195,12 @@ def transcripts(spark: SparkSession, root: str, strategy: str = "longest") -> Da
     parsed = files.select("path", "value").mapInPandas(
         run, "path string, chat_index int, chat_key string, chat_date string, message_index int, role string, timestamp string, content string"
     )
-    inside = F.regexp_replace("path", "^.*?" + _quoted(root.rstrip("/").removeprefix("file://")) + "/", "")
+    inside = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
     return parsed.where("trim(content) <> ''").select(
         F.split(inside, "/")[0].alias("participant"), inside.alias("source_path"), "chat_index", "message_index", "role", "timestamp", "chat_key", "chat_date", "content"
     )
 
 
-def _quoted(text: str) -> str:
-    import re
-
-    return re.escape(text)
-
-
 def annotation_specs(spark: SparkSession, path: str) -> DataFrame:
     """annotation_id, category, scope, is_harmful of a specification CSV (S15, S16); the harm column by its name's start."""
     from ..operators.model import scope_list
@@ -230,11 +225,11 @@ def orderings(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,struct<ordering_type:string>>")).alias("participant", "o")).select("participant", F.col("o.ordering_type").alias("ordering_type"))
 
 
-def surveys(spark: SparkSession, path: str, age: str = "age", gender: str = "gender") -> DataFrame:
-    """participant (file stem), age, gender of one JSON object per file."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+def surveys(spark: SparkSession, path: str, age: str = "age", gender: str = "gender", pattern: str = "*.json", participant: str = r"([^/]+)\.json$") -> DataFrame:
+    """participant (by the file's path, its stem if not told otherwise), age, gender of one JSON object per file."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return text.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("participant"),
+        F.regexp_extract(F.col("_metadata.file_path"), participant, 1).alias("participant"),
         F.expr(f"try_cast(get_json_object(value, '$.{age}') AS INT)").alias("age"), F.get_json_object("value", f"$.{gender}").alias("gender"),
     )
 
@@ -292,7 +287,12 @@ def embedded_json(df: DataFrame, html: str = "html", marker: str = "jsonData") -
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, content) of every member of ZIP archives, nested ones included."""
+    """(archive, member, content) of every member of the ZIP archives below a folder."""
+    return members(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path))
+
+
+def members(archives: DataFrame) -> DataFrame:
+    """(archive, member, content) of every member of ZIP archives in (path, content), nested ones included; broken archives have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -318,22 +318,119 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((p, prefix + name, inner))
             yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    return raw.select("path", "content").mapInPandas(run, "archive string, member string, content binary")
+    return archives.select("path", "content").mapInPandas(run, "archive string, member string, content binary")
 
 
-def labelled_turns(df: DataFrame, text: str = "text", doc_id: str = "doc_id", labels: tuple[str, ...] = ("User", "Assistant")) -> DataFrame:
-    """Turns of ``Label: text`` transcripts (F24, F25): lines are numbered, a label starts a turn, turns are joined again."""
-    from pyspark.sql import Window
+def _alternate(turns: list[tuple[str, str]], strict: bool) -> list[tuple[str, str]]:
+    """The turns if they make a conversation, else none: two at least, and strictly user and assistant in turn from the user on."""
+    roles = [r for r, _ in turns]
+    fine = all(r == ("user", "assistant")[k % 2] for k, r in enumerate(roles)) if strict else {"user", "assistant"} <= set(roles)
+    return turns if len(turns) >= 2 and fine else []
 
-    names = "|".join(labels)
-    lines = df.select(doc_id, F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    pattern = rf"^\s*[*#]*\s*({names})(?:\s+said)?\s*[*]*\s*:\s*[*]*\s*(.*)$"
-    starts = F.col("line").rlike(pattern)
-    w = Window.partitionBy(doc_id).orderBy("n")
-    marked = lines.withColumns({"turn": F.sum(F.when(starts, 1).otherwise(0)).over(w), "role": F.when(starts, F.lower(F.regexp_extract("line", pattern, 1))),
-                                "body": F.when(starts, F.regexp_extract("line", pattern, 2)).otherwise(F.col("line"))})
-    turns = marked.where("turn > 0").groupBy(doc_id, "turn").agg(
-        F.max("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda x: x["body"]), "\n").alias("content")
-    )
-    return turns.select(doc_id, (F.col("turn") - 1).cast("int").alias("message_index"), "role", F.trim("content").alias("content"))
+
+def label_turns(text: str, labels: tuple[str, ...], strict: bool = True) -> list[tuple[str, str]]:
+    """(role, content) of lines that begin with a label and a colon or dash (F24); the first label is the user's."""
+    names = "|".join(re.escape(x.strip()) for x in labels)
+    marks = list(re.finditer(rf"^[ \t]*[*#]*[ \t]*({names})[*]*[ \t]*[:-][ \t]*[*]*", _lines(text), re.I | re.M))
+    ends = [m.start() for m in marks[1:]] + [None]
+    body = _lines(text)
+    turns = [("user" if m[1].lower() == labels[0].strip().lower() else "assistant", body[m.end() : e].strip()) for m, e in zip(marks, ends)]
+    return _alternate(turns, strict) if strict else turns if len(turns) >= 2 else []
+
+
+_HEADING = re.compile(r"^(?:[ \t]*#{1,6}[ \t]*)?(?:\*\*)?[ \t]*(?:(you said|chatgpt said)[ \t]*:|(user|chatgpt)[ \t]*:?)[ \t]*(?:\*\*)?[ \t]*$", re.I | re.M)
+_INLINE = re.compile(r"\b(you\s+said|chatgpt\s+said)\s*:\s*", re.I)
+
+
+def markdown_turns(text: str, strict: bool = True) -> list[tuple[str, str]]:
+    """(role, content) of an export with headings of its two speakers, or with their names inside paragraphs."""
+    body = _lines(text)
+    heads = [(m.start(), m.end(), m[1] or m[2]) for m in _HEADING.finditer(body)]
+    inside = [(m.start(), m.end(), m[1]) for m in _INLINE.finditer(body)]
+    if len(heads) < 2 and not inside:
+        return []
+    marks = sorted({m[0]: m for m in (heads + inside if len(heads) >= 2 else inside)}.values())
+    # A heading's own words are an inline mark, too: marks that begin within another are part of it.
+    kept = []
+    for m in marks:
+        if not kept or m[0] >= kept[-1][1]:
+            kept.append(m)
+    turns = [("user" if who.lower().startswith(("you", "user")) else "assistant", body[end:stop].strip(" \t\n*")) for (_, end, who), stop in zip(kept, [m[0] for m in kept[1:]] + [None])]
+    preface = body[: kept[0][0]].strip(" \t\n*#")
+    if turns[0][0] == "assistant" and preface:
+        turns.insert(0, ("user", preface))
+    return _alternate(turns, strict)
+
+
+def _lines(text: str) -> str:
+    return text.replace("\r\n", "\n").replace("\r", "\n")
+
+
+def _parsed(df: DataFrame, text: str, doc_id: str, parse: Callable[[str], list[tuple[str, str]]]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, n, role, content) for d, t in zip(b[doc_id], b[text]) if isinstance(t, str) for n, (role, content) in enumerate(parse(t))]
+            yield pd.DataFrame(rows, columns=[doc_id, "message_index", "role", "content"])
+
+    return df.select(doc_id, text).mapInPandas(run, f"`{doc_id}` {dict(df.dtypes)[doc_id]}, message_index int, role string, content string")
+
+
+def labelled_turns(df: DataFrame, text: str = "text", doc_id: str = "doc_id", labels: tuple[str, ...] = ("User", "Assistant"), strict: bool = True) -> DataFrame:
+    """(doc_id, message_index, role, content) of texts with labelled turns (F24); texts that are none have no rows."""
+    return _parsed(df, text, doc_id, lambda t: label_turns(t, labels, strict))
+
+
+def heading_turns(df: DataFrame, text: str = "text", doc_id: str = "doc_id", strict: bool = True) -> DataFrame:
+    """(doc_id, message_index, role, content) of texts in an export's markdown."""
+    return _parsed(df, text, doc_id, lambda t: markdown_turns(t, strict))
+
+
+def shape_of(text: Column) -> Column:
+    """What a JSON text holds: ``mapping``, ``messages``, ``conversations``, a ``list`` of these, or ``other`` (S33, S25); null for null."""
+    bare = F.trim(text)
+    first = F.when(bare.startswith("["), F.get_json_object(bare, "$[0]")).otherwise(bare)
+    has = lambda key: F.get_json_object(first, f"$.{key}").isNotNull()
+    inner = F.when(has("mapping"), "mapping").when(has("messages"), "messages").when(has("conversations"), "conversations").otherwise("other")
+    return F.when(bare.startswith("[") & (inner != "other"), F.concat(F.lit("list of "), inner)).when(text.isNotNull(), inner)
+
+
+def route_of(path: Column) -> Column:
+    """How a file is read, by its ending (S25, S22): archive, json, html, text, or skip for what needs other programs."""
+    end = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.when(end == "zip", "archive").when(end.isin("json", "jsonl"), "json").when(end.isin("html", "htm"), "html").when(end.isin("txt", "md", "markdown"), "text").otherwise("skip")
+
+
+def plain_text(content: Column, path: Column) -> Column:
+    """Text of txt, md and html files (S22): tags, scripts and entities go, form feeds and line ends are normalised; null for other files."""
+    from ..functions.text import normalize_text
+
+    raw = F.decode(content, "UTF-8")
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?is)<(script|style)\b.*?</\1>", ""), r"(?i)<(?:br|/p|/div|/h\d|/li)[^>]*>", "\n")
+    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "")
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(mark))
+    route = route_of(path)
+    return F.when(route == "html", normalize_text(bare)).when(route == "text", normalize_text(raw))
+
+
+def survey_rows(spark: SparkSession, path: str, ids: DataFrame, key: str = "response_id") -> DataFrame:
+    """Survey answers of a CSV with the participant of ``ids``, one JSON text per participant (S21); short rows are padded, long ones cut."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", True).csv(path)
+    named = raw.join(ids.select(key, "participant"), key)
+    return named.select("participant", F.to_json(F.struct(*[c for c in raw.columns if c != key])).alias("answers"))
+
+
+def subset_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Scores of subsets by plan row; the last line of a row holds."""
+    schema = T._parse_datatype_string("type string, row int, label string, line bigint, prior_conversation_reliance int, uploaded_document_reliance int, cohesion int, notes string")
+    rows = jsonl(spark, path, schema).where("coalesce(type, '') <> 'meta' AND row IS NOT NULL")
+    rest = [f.name for f in schema.fields if f.name not in ("type", "row", "line")]
+    return rows.groupBy("row").agg(F.max_by(F.struct(*rest), "line").alias("_r")).select("row", "_r.*")
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks of all manifests below a folder with their manifest's header."""
+    head = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{path.rstrip('/')}/*/meta").withColumn("_file", F.col("_metadata.file_path"))
+    tasks = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{path.rstrip('/')}/*/tasks").withColumn("_file", F.col("_metadata.file_path"))
+    name = F.regexp_extract("_file", r"([^/]+)/(?:meta|tasks)/[^/]+$", 1)
+    return tasks.withColumn("manifest", name).drop("_file").join(head.select(name.alias("manifest"), F.col("tasks").alias("planned"), "status"), "manifest", "left")
