@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as fx
-from threadloom.operators import agreement, dynamics, model, rates, regression, relations, transcripts, windows
+from threadloom.operators import agreement, dynamics, model, rates, records, regression, relations, transcripts, windows
 
 SC = "participant string, source_path string, chat_index int, message_index int"
 
@@ -214,3 +214,44 @@ def test_terms_are_grams_without_stop_words(spark, data, tmp_path):
     got = {r.term: r.weight for r in catalogue.queries()["tfidf_terms"](spark, str(tmp_path)).collect()}
     assert set(got) == {"river", "house", "old", "bridge", "river house", "house old", "old bridge", "old river"}
     assert catalogue.queries()["kmeans_topics"](spark, data).count() > 10
+
+
+def test_texts_with_quotes(spark):
+    texts = spark.createDataFrame([(1, "He said THE old bridge over the river was shut."), (2, "the old bridges over the river was shut"), (3, None), (4, ""), (5, "old")], "t int, text string")
+    quotes = spark.createDataFrame([(1, "e old bridge over the river was sh"), (2, "Old"), (3, ""), (4, None), (5, "bridges over the river was shut!")], "q int, quote string")
+    assert {(r.t, r.q) for r in relations.texts_with_quotes(texts, quotes, "text", "quote").collect()} == {(1, 1), (1, 2), (2, 2), (5, 2)}
+    assert relations.texts_with_quotes(texts.limit(0), quotes, "text", "quote").count() == 0
+
+
+def test_family_state_errors(spark):
+    notes = spark.createDataFrame([("a",), ("b",)], "annotation_id string")
+    cuts = spark.createDataFrame([("a", 5)], "annotation_id string, cutoff int")
+    rows = lambda *x: spark.createDataFrame(list(x), "participant string, source_path string, chat_index int, message_index int, role string, annotation_id string, score double, error string")
+    base = ("p", "f", 0, 1, "user", "a", 6.9, None)
+    assert [r.is_pos for r in records.family_state(rows(base, (None, "f", 0, 1, "user", "a", 1.0, None), ("p", "f", 0, 2, "user", "a", 9.0, "fatal"), ("p", "f", 0, 3, "user", "zz", 9.0, None)), notes, cuts).collect()] == [True]
+    for bad in ((base, base), (base, ("p", "f", 0, 1, "user", "b", 1.0, None))):
+        with pytest.raises(Exception, match="twice|no cutoff"):
+            records.family_state(rows(*bad), notes, cuts).collect()
+    two = spark.createDataFrame([("a", 5), ("b", 5)], "annotation_id string, cutoff int")
+    with pytest.raises(Exception, match="two roles"):
+        records.family_state(rows(base, ("p", "f", 0, 1, "assistant", "b", 1.0, None)), notes, two).collect()
+    assert records.role_filter("Both") is None and records.role_filter(" User") == "user"
+    with pytest.raises(ValueError):
+        records.role_filter("system")
+    for bad in ("x", ":user", "a:", "a:system"):
+        with pytest.raises(ValueError):
+            records.scope_overrides([bad])
+
+
+def test_empty_records(spark):
+    empty = spark.createDataFrame([], "participant string, source_path string, chat_index int, message_index int, role string, annotation_id string, score double, matches array<string>, error string, content string")
+    assert records.family_stats(empty).first()["rows"] == 0 and records.fatal_errors(empty).count() == 0
+    assert records.rechecked(empty, empty.select(*model.KEY, "content")).count() == 0 and records.numbered(empty.select("score"), ["score"]).count() == 0
+    people = spark.createDataFrame([(None, None), (None, " ")], "age int, gender string")
+    assert [(r.measure, r.value) for r in records.demographics(people).collect()] == [("count", 0.0)]
+
+
+def test_numbered_over_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
+    got = [(r.row, r.v) for r in records.numbered(df.repartition(7), ["v"]).orderBy("row").collect()]
+    assert [n for n, _ in got] == list(range(1, 1001)) and [v for _, v in got] == sorted(v for _, v in got)

@@ -83,7 +83,7 @@ def family_state(records: DataFrame, annotations: DataFrame, cutoffs: DataFrame,
     message = Window.partitionBy(*KEY)
     bad = F.when(F.col("n") > 1, "annotation twice on one message").when(F.min("lo").over(message) != F.max("role").over(message), "two roles of one message")
     checked = pairs.withColumn("bad", bad)
-    return checked.select(*KEY, F.when(F.col("bad").isNull(), role_word(F.col("role"))).otherwise(F.raise_error("bad").cast("string")).alias("role"), "annotation_id", "is_pos")
+    return checked.select(*KEY, F.when(F.col("bad").isNull(), role_word(F.col("role"))).otherwise(F.raise_error(F.col("bad")).cast("string")).alias("role"), "annotation_id", "is_pos")
 
 
 def run_analysis(analysis: Callable[..., DataFrame], state: DataFrame, **settings) -> DataFrame:

@@ -151,3 +151,21 @@ def first_wins(rows: DataFrame, other: DataFrame, on: list[str], column: str, or
     """Rows with the first value of ``other`` by ``order``, and whether there were several."""
     first = other.groupBy(*on).agg(F.min_by(column, order).alias(column), (F.count("*") > 1).alias("repeated"))
     return rows.join(first, on, "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+
+
+def texts_with_quotes(texts: DataFrame, quotes: DataFrame, text: str, quote: str, run: int = 4) -> DataFrame:
+    """Rows of both tables where the text contains the quote, whatever the letter case.
+
+    The words inside a quote, its first and last left aside, stand whole in any text that contains it: the first ``run`` of
+    them are looked up among the texts' runs of words by an equi-join, and what is found is verified. Quotes
+    with fewer words are compared with every text. Null and empty quotes have no rows.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    asked = quotes.where(F.col(quote) != "").withColumn("_w", words(F.col(quote)))
+    long, short = asked.where(F.size("_w") >= run + 2), asked.where(F.size("_w") < run + 2).drop("_w")
+    anchors = long.withColumn("_g", F.xxhash64(F.array_join(F.slice("_w", 2, run), " "))).drop("_w")
+    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - run + 1), lambda k: F.xxhash64(F.array_join(F.slice("_w", k, run), " ")))
+    runs = texts.withColumn("_w", words(F.col(text))).where(F.size("_w") >= run).withColumn("_g", F.explode(F.array_distinct(grams))).drop("_w")
+    holds = F.contains(F.lower(text), F.lower(quote))
+    found = runs.join(anchors, "_g").drop("_g").where(holds)
+    return found.unionByName(texts.join(short, holds).select(*found.columns))

@@ -36,10 +36,35 @@ def rolling_time_no_peers(df: DataFrame, by: list[str], ts: str, tiebreak: str,
     return df.withColumn("rolling", F.when(n > 0, total / n))
 
 
+def conversation_places(messages: DataFrame) -> DataFrame:
+    """(conversation, slot, before): its number among the participant's conversations and the messages before it.
+
+    Only this table of conversations is sorted per participant, so one who holds much of all messages is no
+    task of messages.
+    """
+    w = Window.partitionBy("participant").orderBy("source_path", "chat_index")
+    sizes = messages.groupBy(*CONVERSATION).agg(F.count_distinct("message_index").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select(*CONVERSATION, (F.row_number().over(w) - 1).alias("slot"), before.alias("before"))
+
+
+def with_places(df: DataFrame, places: DataFrame) -> DataFrame:
+    """``df`` with slot and before; null parts of a conversation's key equal each other."""
+    p = places.select(*[F.col(c).alias("_" + c) for c in CONVERSATION], "slot", "before")
+    return df.join(p, [df[c].eqNullSafe(p["_" + c]) for c in CONVERSATION]).drop(*["_" + c for c in CONVERSATION])
+
+
+def positions(messages: DataFrame) -> DataFrame:
+    """Messages with their number among the participant's messages, from 0."""
+    within = Window.partitionBy(*CONVERSATION).orderBy("message_index")
+    return with_places(messages, conversation_places(messages)).withColumn("position", F.col("before") + F.row_number().over(within) - 1).drop("slot", "before")
+
+
 def series(scored: DataFrame, n: int) -> DataFrame:
     """Per participant and annotation: global message number from 0 and trailing share of positives."""
-    everyone = Window.partitionBy("participant").orderBy("source_path", "chat_index", "message_index")
-    placed = scored.withColumn("position", F.dense_rank().over(everyone) - 1).withColumn("hit", F.col("is_pos").cast("double"))
+    within = Window.partitionBy(*CONVERSATION).orderBy("message_index")
+    numbered = with_places(scored, conversation_places(scored)).withColumn("position", F.col("before") + F.dense_rank().over(within) - 1)
+    placed = numbered.drop("slot", "before").withColumn("hit", F.col("is_pos").cast("double"))
     return rolling_rows(placed, ["participant", "annotation_id"], ["position"], "hit", n)
 
 
@@ -175,8 +200,7 @@ def first_anchor(positives: DataFrame) -> DataFrame:
 
 def first_conversations(messages: DataFrame, n: int) -> DataFrame:
     """Messages of the first n conversations of each participant."""
-    w = Window.partitionBy("participant").orderBy("source_path", "chat_index")
-    return messages.withColumn("_c", F.dense_rank().over(w)).where(F.col("_c") <= n).drop("_c")
+    return with_places(messages, conversation_places(messages).where(F.col("slot") < n)).drop("slot", "before")
 
 
 def shares(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -195,8 +219,8 @@ def stopped(scored: DataFrame, limit: int = 10) -> DataFrame:
 def sequence_points(messages: DataFrame) -> DataFrame:
     """Fractional x position of each message within its conversation's slot."""
     conv = Window.partitionBy(*CONVERSATION)
-    slot = F.dense_rank().over(Window.partitionBy("participant").orderBy("source_path", "chat_index")) - 1
-    return messages.withColumn("x", slot + (F.row_number().over(conv.orderBy("message_index")) - 1) / F.count("*").over(conv))
+    within = (F.row_number().over(conv.orderBy("message_index")) - 1) / F.count("*").over(conv)
+    return with_places(messages, conversation_places(messages)).withColumn("x", F.col("slot") + within).drop("slot", "before")
 
 
 def top_curves(series_: DataFrame, who: str, label: str, group: str, x: str, y: str, n: int) -> DataFrame:

@@ -184,7 +184,7 @@ query("role_filtered", CTE + " SELECT annotation_id, count(*) AS n FROM scored W
 )
 query("global_positions", CTE + f""", g AS (SELECT participant, {KEY_SQL.split(', ', 1)[1]}, row_number() OVER (PARTITION BY participant ORDER BY source_path, chat_index, message_index) - 1 AS position FROM msg)
 SELECT dataset_path, sequence_index, annotation_id, position FROM manual_items LEFT JOIN g USING ({KEY_SQL})""")(
-    lambda i: i.t("manual_items").join(records.numbered(i.messages.select(*KEYS), ["source_path", "chat_index", "message_index"], "participant").withColumn("position", c("row") - 1), KEYS, "left").select("dataset_path", "sequence_index", "annotation_id", "position")
+    lambda i: i.t("manual_items").join(windows.positions(i.messages.select(*KEYS)), KEYS, "left").select("dataset_path", "sequence_index", "annotation_id", "position")
 )
 query("effects_with_frequency", _FREQ + f""", n AS (SELECT {CONV_SQL}, ln(count(*)) AS y FROM msg GROUP BY ALL), e AS (SELECT annotation_id, regr_slope(y, CASE WHEN is_pos THEN 1.0 ELSE 0.0 END) AS slope FROM scored JOIN n USING ({CONV_SQL}) WHERE in_scope GROUP BY 1)
 SELECT annotation_id, round(slope, 6) AS slope, round(m, 6) AS rate FROM e LEFT JOIN fr USING (annotation_id)""")(lambda i: _effects(i))

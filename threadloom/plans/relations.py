@@ -142,7 +142,7 @@ query("buckets", r"SELECT source_path, regexp_extract(source_path, '^([a-z]+_[0-
     lambda i: i.t("transcript_files").select("source_path", fx.bucket(F.col("source_path")).alias("bucket"), fx.display_participant(F.col("participant")).alias("shown"))
 )
 query("quote_validation", """SELECT e.item_id, d.doc_id FROM eval_items e JOIN documents d ON contains(lower(d.text), lower(e.text))""")(
-    lambda i: i.t("documents").where("text IS NOT NULL").join(F.broadcast(i.t("eval_items").select("item_id", F.lower("text").alias("quote"))), F.contains(F.lower("text"), F.col("quote"))).select("item_id", "doc_id")
+    lambda i: relations.texts_with_quotes(i.t("documents").where("text IS NOT NULL"), i.t("eval_items").where("text IS NOT NULL").select("item_id", F.col("text").alias("quote")), "text", "quote").select("item_id", "doc_id")
 )
 query("topic_enrichment", """WITH d AS (SELECT vec_id % 20 AS participant, label FROM embeddings), c AS (SELECT participant, label, count(*) AS n FROM d GROUP BY ALL),
 o AS (SELECT label, sum(n) / (SELECT count(*) FROM d) AS q FROM c GROUP BY label), s AS (SELECT c.*, n / sum(n) OVER (PARTITION BY participant) AS p, q FROM c JOIN o USING (label))

@@ -54,12 +54,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session leaves it unset (tests, local runs) a folder of our own is made.
+    Only a local session may leave it unset (tests, local runs): a folder of our own is made then. A cluster
+    without it is an error, as a folder of one machine would be lost to the others.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if base:
         return base
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(sc, "_threadloom_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="threadloom-")
