@@ -55,6 +55,27 @@ def test_redaction_keeps_the_rest(spark):
     assert [r.content for r in pii.redacted(df).collect()][2] is None and pii.found(df.limit(0)).count() == 0
 
 
+def test_names_learned_from_the_corpus(spark):
+    """Full names with given names of no list, at cues in some rows and without any cue in others: recall and precision."""
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(3)) + rng.choice(list("nlrs")) for _ in range(160)]
+    given, family = [w.capitalize() for w in made[:12]], [w.capitalize() for w in made[12:]]
+    assert not {g.lower() for g in given} & set(pii.GIVEN)
+    full = lambda: f"{rng.choice(given)} {rng.choice(family)}"
+    cued = [f"Yesterday I met {full()} on the bridge." for _ in range(150)]
+    bare = [f"Then {full()} took the last boat and the rain began." for _ in range(150)]
+    none = [f"Then {rng.choice(given)} took the last boat to {rng.choice(family)} Bay, and the rain began." if k % 2 else "The Old Harbour Inn was shut on Monday." for k in range(150)]
+    texts = cued + bare + none
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, content string")
+    names = pii.learned(df)
+    assert set(names) == {g.lower() for g in given}
+    got = {r.row_id for r in pii.found(df).where("kind = 'name'").collect()}
+    right = set(range(300))
+    assert len(got & right) >= 0.97 * 300 and len(got & right) >= 0.95 * len(got)
+    assert {r.row_id for r in pii.found(df, names=()).where("kind = 'name'").collect()} <= set(range(150))
+    assert pii.learned(df.limit(0)) == ()
+
+
 TEXTS = ["", None, "Hello world", "  two  spaces\n\n\n", "don't we'll I'M", "café é 👩‍💻 你好 مرحبا", "<|endoftext|> </s>", "a" * 3000, "x=[i**2 for i in range(10)]\t\t", "﻿\xa0—", "12345 0x1f"]
 
 

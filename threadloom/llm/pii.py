@@ -2,13 +2,18 @@
 
 Anchor expansion: one Aho-Corasick pass over the lower-cased text finds at-signs, schemes, cues of
 identity numbers, street words, given names and name cues; a name cue makes a full name of any
-capitalised pair after it, a listed given name also without one; a deterministic parser at each anchor
+capitalised pair after it, a known given name also without one; a deterministic parser at each anchor
 expands to the item's boundaries and validates it. Digit runs are the anchors of phone numbers.
 
+Given names are known from a short list of common ones and from the corpus itself (``learned``): a word
+that stands first in full names after cues in ``LEARN_TEXTS`` places, with ``LEARN_FAMILIES`` family names, is a
+given name wherever it stands. At most ``LEARN_NAMES`` are kept, the most frequent, so that the
+automaton that every task gets has a bound; all texts are read for this.
+
 Defined results: null text stays null and holds nothing; overlapping finds keep the kind that comes
 first in ``KINDS``; repeated items give one span each; placeholders already in the text, handles,
 version and order numbers, single names and names of apps hold nothing. A full name whose given name is
-not in ``GIVEN`` is found only at a name cue, and in lower case only after ``SIGNED``; see the README for
+not known is found only at a name cue, and in lower case only after ``SIGNED``; see the README for
 the recall of that.
 """
 
@@ -20,27 +25,24 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("email", "id_number", "phone", "street_address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
-# Given names that start a person's full name.
+# Common given names of several languages; the corpus adds its own (``learned``).
 GIVEN = (
-    "hugo piet marta priya tomas viktor elif ilse clara soraya wanda nadia greta dario ruben ines oskar akira alma jonas evan "
-    "samuel kwame lucía lucia renée renee ivan anna maria mary john james robert michael david william thomas sarah laura julia "
-    "peter paul martin anja katrin stefan andreas sabine carlos josé jose juan luis miguel carmen elena sofia pablo diego ana "
-    "pierre jean marie claire luca giulia marco francesca olga dmitri natasha yuki hana wei mei ahmed fatima omar layla "
-    "patricia jennifer linda elizabeth barbara susan jessica karen nancy lisa betty sandra ashley emily donna michelle carol amanda "
-    "melissa deborah stephanie rebecca sharon cynthia kathleen amy angela shirley brenda pamela emma nicole helen samantha katherine "
-    "christine rachel janet heather joseph charles christopher daniel matthew anthony donald steven andrew joshua kenneth kevin brian "
-    "george timothy ronald edward jason jeffrey ryan jacob nicholas gary eric jonathan stephen larry justin benjamin gregory alexander "
-    "patrick raymond dennis jerry tyler aaron henry oliver harry sophie charlotte ingrid ursula heike monika renate gisela petra birgit "
-    "claudia susanne angelika jürgen wolfgang klaus dieter manfred uwe günter horst bernd matthias markus tobias florian sebastian lukas "
-    "felix moritz leon hannah lena johanna franziska antonio francisco manuel javier fernando alejandro rafael ángel raúl jesús jorge "
-    "alberto álvaro isabel dolores pilar teresa cristina beatriz rocío marisol ximena valentina camila giovanni giuseppe chiara alessandro "
-    "françois jacques philippe nathalie isabelle sylvie camille thierry joão paulo fernanda mariana sergei vladimir ekaterina tatiana "
-    "svetlana mikhail aleksandr mohammed mohamed hassan ibrahim aisha khadija mustafa priyanka rahul arjun sanjay deepak lakshmi anjali "
-    "hiroshi takashi keiko yoko jin minh nguyen chidi amara kofi björn sven astrid freya lars henrik agnieszka katarzyna piotr jakub zofia"
+    "aaron ahmed aisha alberto alejandro alessandro alexander amanda amara amy ana andreas andrew angela angelika anja anjali anna "
+    "anthony antonio arjun ashley astrid barbara benjamin björn brian carlos carmen carol charles charlotte chiara christine "
+    "christopher claire clara claudia cristina daniel david deepak diego dmitri donald edward ekaterina elena elizabeth emily emma "
+    "eric fatima felix fernanda fernando florian francesca francisco franziska françois george giovanni giulia giuseppe gregory hana "
+    "hannah hassan helen henrik henry hiroshi hugo ibrahim ingrid isabel ivan jacob jacques james jason javier jean jeffrey jennifer "
+    "jessica johanna john jonathan jorge jose joseph joshua josé joão juan julia justin jürgen karen katarzyna katherine katrin keiko "
+    "kenneth kevin klaus lakshmi lars laura layla lena leon linda lisa luca luis lukas manuel marco maria mariana marie markus martin "
+    "mary matthew matthias mei melissa michael michelle miguel mikhail mohamed mohammed monika moritz mustafa nancy natasha nathalie "
+    "nguyen nicholas nicole olga oliver omar pablo patricia patrick paul paulo peter petra philippe pierre piotr priyanka rachel "
+    "rafael rahul rebecca robert ryan sabine samantha sanjay sarah sebastian sergei sofia stefan stephanie stephen steven susan "
+    "susanne sven takashi teresa thomas timothy tobias tyler ursula valentina vladimir wei william wolfgang yoko yuki zofia"
 ).split()
 # Words before a full name.
 NAME_CUES = (
@@ -119,15 +121,20 @@ _NEXT_SENTENCE = re.compile(r"(?<!\bno)(?<!\bnr)[.!?]\s+[^\W\d_]", re.I)
 _DIGIT = re.compile(r"\d")
 
 
-@lru_cache(1)
-def _anchors():
+#: A given name is learned from this many places with this many family names; the most frequent ones are kept.
+LEARN_TEXTS, LEARN_FAMILIES, LEARN_NAMES = 4, 3, 20_000
+
+
+@lru_cache(2)
+def anchors(names: tuple[str, ...] = ()):
+    """The automaton of all anchors, with learned given names."""
     import ahocorasick
 
     made = ahocorasick.Automaton()
     words: dict[str, list[tuple[str, str]]] = {}
     for kind, group in (
         ("email", ("@", "(at)", "[at]")), ("id", ID_CUES), ("en", STREET_EN), ("de", STREET_DE), ("es", STREET_ES),
-        ("given", GIVEN), ("cue", STRONG_CUES), ("frame", tuple(dict.fromkeys(NAME_FRAMES + SIGNED))),
+        ("given", tuple(dict.fromkeys((*GIVEN, *names)))), ("cue", STRONG_CUES), ("frame", tuple(dict.fromkeys(NAME_FRAMES + SIGNED))),
     ):
         for w in group:
             words.setdefault(w, []).append((kind, w))
@@ -264,13 +271,58 @@ def _framed(text: str, low: str, at: int, frame: str):
     return None
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping (start, end, kind) of the personal items of a text, in order."""
+def _low(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # keep offsets where a letter's lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
+
+
+def named_people(text: str) -> list[tuple[str, str]]:
+    """(given name, family name) in lower case of the capitalised full names after cues."""
+    low, out = _low(text), set()
+    for last, kinds in _frames().iter(low):
+        for _, word in kinds:
+            hit = _framed(text, low, last - len(word) + 1, word)
+            if hit:
+                name = text[hit[0] : hit[1]]
+                family, _, given = name.partition(",") if "," in name else (name.split()[-1], "", name.split()[0])
+                given = given.strip()
+                if given[:1].isupper():
+                    out.add((hit[0], given.lower(), family.split()[-1].lower()))
+    return [(g, f) for _, g, f in sorted(out)]
+
+
+@lru_cache(1)
+def _frames():
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for w in dict.fromkeys(NAME_FRAMES + SIGNED):
+        made.add_word(w, [("frame", w)])
+    made.make_automaton()
+    return made
+
+
+def learned(df: DataFrame, content: str = "content") -> tuple[str, ...]:
+    """Given names that the corpus itself shows, at most ``LEARN_NAMES``; one pass, counts are combined before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [p for t in batch.column(0).to_pylist() if t for p in named_people(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in pairs], pa.string()), pa.array([f for _, f in pairs], pa.string())], ["given", "family"])
+
+    pairs = df.select(content).where(F.col(content).isNotNull()).mapInArrow(run, "given string, family string")
+    counts = pairs.groupBy("given", "family").agg(F.count("*").alias("n")).groupBy("given").agg(F.sum("n").alias("n"), F.count("*").alias("families"))
+    kept = counts.where((F.col("n") >= LEARN_TEXTS) & (F.col("families") >= LEARN_FAMILIES) & (F.length("given") > 2))
+    return tuple(sorted(r.given for r in kept.orderBy(F.desc("n"), "given").limit(LEARN_NAMES).collect()))
+
+
+def spans(text: str, automaton=None) -> list[tuple[int, int, str]]:
+    """Non-overlapping (start, end, kind) of the personal items of a text, in order; ``automaton`` is that of ``anchors``."""
+    low = _low(text)
     found: list[tuple[int, int, str]] = []
-    for last, kinds in _anchors().iter(low):
+    for last, kinds in (automaton or anchors()).iter(low):
         for kind, word in kinds:
             at = last - len(word) + 1
             hit = None
@@ -310,11 +362,11 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
-def redact(text: str | None) -> tuple[str | None, list[str]]:
+def redact(text: str | None, automaton=None) -> tuple[str | None, list[str]]:
     """The text with typed placeholders, and the kinds it held."""
     if not text:
         return text, []
-    found = spans(text)
+    found = spans(text, automaton)
     if not found:
         return text, []
     parts, at = [], 0
@@ -324,33 +376,35 @@ def redact(text: str | None) -> tuple[str | None, list[str]]:
     return "".join([*parts, text[at:]]), sorted({k for _, _, k in found})
 
 
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        index, kinds = [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            if text:
-                for kind in {k for _, _, k in spans(text)}:
-                    index.append(i)
-                    kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(kinds, pa.string())], [batch.schema.names[0], "kind"])
-
-
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done = [redact(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.list_(pa.field("element", pa.string())))],
-            [batch.schema.names[0], "content", "kinds"],
-        )
+def found(df: DataFrame, content: str = "content", row_id: str = "row_id", names: tuple[str, ...] | None = None) -> DataFrame:
+    """(row_id, kind): one row per kind that a text holds. One pass to learn names unless they are given, one to find."""
+    shared = df.sparkSession.sparkContext.broadcast(learned(df, content) if names is None else names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = anchors(shared.value)
+        for batch in batches:
+            index, kinds = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text:
+                    for kind in {k for _, _, k in spans(text, known)}:
+                        index.append(i)
+                        kinds.append(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(kinds, pa.string())], [row_id, "kind"])
 
-def found(df: DataFrame, content: str = "content", row_id: str = "row_id") -> DataFrame:
-    """(row_id, kind): one row per kind that a text holds. One pass, no shuffle."""
-    kind = dict(df.dtypes)[row_id]
-    return df.select(row_id, content).mapInArrow(_kinds, f"`{row_id}` {kind}, kind string")
+    return df.select(row_id, content).mapInArrow(run, f"`{row_id}` {dict(df.dtypes)[row_id]}, kind string")
 
 
-def redacted(df: DataFrame, content: str = "content", row_id: str = "row_id") -> DataFrame:
+def redacted(df: DataFrame, content: str = "content", row_id: str = "row_id", names: tuple[str, ...] | None = None) -> DataFrame:
     """(row_id, content, kinds): every row with its text redacted."""
-    kind = dict(df.dtypes)[row_id]
-    return df.select(row_id, content).mapInArrow(_redacted, f"`{row_id}` {kind}, content string, kinds array<string>")
+    shared = df.sparkSession.sparkContext.broadcast(learned(df, content) if names is None else names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = anchors(shared.value)
+        for batch in batches:
+            done = [redact(t, known) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.list_(pa.field("element", pa.string())))],
+                [row_id, "content", "kinds"],
+            )
+
+    return df.select(row_id, content).mapInArrow(run, f"`{row_id}` {dict(df.dtypes)[row_id]}, content string, kinds array<string>")
