@@ -1,6 +1,8 @@
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import timestamps as ts
 
@@ -83,3 +85,23 @@ def test_empty_and_clashing_columns(spark):
 @pytest.mark.parametrize("label", ["x" * 100_000, "9" * 400, "2024-01-01 " * 1000])
 def test_very_long_labels(label):
     assert ts.classify(label, True, {})[0] in ("no_time", "instant", "impossible")
+
+
+def test_clock_that_moves_inside_a_file(spark):
+    """A clock in Berlin up to a chat and in New York from it on, beside labels with a zone of their own."""
+    rows, truth = [], {}
+    for chat in range(40):
+        zone = ZoneInfo("Europe/Berlin" if chat < 24 else "America/New_York")
+        for k in range(12):
+            at = dt.datetime(2024, 2, 1, 9, tzinfo=dt.timezone.utc) + dt.timedelta(days=chat, minutes=7 * k)
+            label = at.strftime("%Y-%m-%dT%H:%M:%SZ") if k % 3 == 0 else at.astimezone(zone).strftime("%Y-%m-%d %H:%M:%S")
+            rows.append((len(rows), "f", chat, k, label, None, at + dt.timedelta(days=50)))
+            truth[len(rows) - 1] = int(at.timestamp())
+    rows += [(-1, "f", None, None, None, None, None), (-2, "g", 0, 0, "no time", None, None)]
+    messages = spark.createDataFrame(rows, "row_id bigint, source_path string, chat_index int, message_index int, timestamp string, chat_date string, ingested_at timestamp")
+    files = spark.createDataFrame([("f", "Asia/Tokyo", "dmy")], "source_path string, clock_zone string, date_order string")
+    got = [(r.first_chat, r.zone) for r in ts.estimate_histories(messages.withColumn("date_order", F.lit("dmy"))).orderBy("first_chat").collect()]
+    assert [z for _, z in got] == ["Europe/Berlin", "America/New_York"] and abs(got[1][0] - 24) <= 2
+    clocked = ts.with_estimated_clocks(messages, files)
+    found = {r.row_id: r.utc_second for r in ts.label_instants(clocked, ("timestamp",), ("row_id",), "clock", "day_first", all_statuses=False).collect()}
+    assert sum(found.get(k) == v for k, v in truth.items()) >= 0.95 * len(truth) and clocked.count() == len(rows)

@@ -301,3 +301,36 @@ def prompt(template: str, **fields: Column) -> Column:
 def pseudonym(kind: str, text: Column, size: int = 8) -> Column:
     """Stable replacement of an entity (X11)."""
     return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(F.concat_ws("|", F.lit(kind), F.lower(text)), 256), 1, size))
+
+
+def latex_escaped(text: Column) -> Column:
+    """Characters that LaTeX reads as commands, escaped."""
+    # Characters and what stands for them; the backslash goes first, by way of a mark of its own.
+    out = F.replace(text, F.lit("\\"), F.lit("\u0001"))
+    for c in "&%$#_{}":
+        out = F.replace(out, F.lit(c), F.lit("\\" + c))
+    for c, named in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\u0001", r"\textbackslash{}")):
+        out = F.replace(out, F.lit(c), F.lit(named))
+    return out
+
+
+def page_link(path: Column, chat_index: Column) -> Column:
+    """Percent-encoded path of a conversation's page and its place there."""
+    page = F.regexp_replace(path, r"\.json$", ".html")
+    return F.concat(F.replace(_escaped(page), F.lit("%2F"), F.lit("/")), F.lit("#chat-"), (chat_index + 1).cast("string"))
+
+
+def anonymised(text: Column, spans: Column, how: str = "replace") -> Column:
+    """The text with array<struct<start, stop, kind>> spans (code points, in order, apart from each other) put away.
+
+    ``how``: replace (kind in brackets), mask (as many asterisks), hash (digest), redact (nothing), fake (a stable pseudonym).
+    Null text stays null; without spans nothing changes.
+    """
+    part = lambda s: F.substr(text, s["start"] + 1, s["stop"] - s["start"])
+    put = {
+        "replace": lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")), "mask": lambda s: F.repeat(F.lit("*"), s["stop"] - s["start"]),
+        "hash": lambda s: F.sha2(part(s), 256), "redact": lambda s: F.lit(""), "fake": lambda s: F.concat(s["kind"], F.lit("_"), F.substring(F.sha2(F.concat_ws("|", s["kind"], F.lower(part(s))), 256), 1, 8)),
+    }[how]
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    step = lambda acc, s: F.struct(F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), put(s)).alias("done"), s["stop"].alias("at"))
+    return F.aggregate(F.coalesce(spans, F.array().cast("array<struct<start:int,stop:int,kind:string>>")), start, step, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1, F.length(text))))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUOTE_ERROR, matched_quotes, quotes_of_error, unmatched_quotes
+from ..functions.text import QUOTE_ERROR, matched_quotes, quotes_of_error, stripped, unmatched_quotes
 from .model import KEY, in_scope, message_key, positive_trunc, role_word
 
 
@@ -109,6 +109,34 @@ def classified(tasks: DataFrame, complete: Callable[[DataFrame], DataFrame], cut
     return out if cutoff is None else out.withColumn("is_pos", positive_by_matches(F.col("matches"), F.col("score"), F.lit(cutoff)))
 
 
+def split_thoughts(tasks: DataFrame, complete: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Texts cut into thought and answer by a model that repeats the thought.
+
+    ``complete`` adds ``answer``, the beginning of ``content`` that is thought; quotes, dashes and white space may differ
+    in it. Where it is no beginning the whole text is the answer.
+    """
+    from ..functions.python import prefix_length
+
+    n = F.coalesce("_n", F.lit(0))
+    cut = complete(tasks).withColumn("_n", prefix_length("content", "answer"))
+    return cut.select(*tasks.columns, F.nullif(stripped(F.substr("content", F.lit(1), n)), F.lit("")).alias("thought"), stripped(F.substr("content", n + 1)).alias("response"))
+
+
+def rewritten(messages: DataFrame, complete: Callable[[DataFrame], DataFrame], roles: tuple[str, ...] = ("user",)) -> DataFrame:
+    """Messages with the content of some roles as a model puts it (X13, X17); null and blank answers change nothing."""
+    mine = complete(messages.where(F.col("role").isin(*roles)))
+    told = mine.withColumn("content", F.coalesce(F.nullif(stripped(F.col("answer")), F.lit("")), "content")).select(*messages.columns)
+    return told.unionByName(messages.where(~F.coalesce(F.col("role").isin(*roles), F.lit(False))))
+
+
+def scored_subsets(tasks: DataFrame, done: DataFrame, on: list[str], complete: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Subsets not done yet with their three scores (X18); ``complete`` adds ``answer``."""
+    from ..functions.text import subset_response
+
+    todo = tasks.join(done.select(*on).distinct(), on, "left_anti")
+    return complete(todo).withColumn("_r", subset_response(F.col("answer"))).select(*tasks.columns, "_r.*")
+
+
 def applicable(messages: DataFrame, annotations: DataFrame, seen: DataFrame, enough: DataFrame | None = None, quota: int = 0) -> DataFrame:
     """(message, annotation) still to be labelled: role in scope, not seen, quota of positives not reached."""
     scopes = annotations.select("annotation_id", F.explode("scope").alias("_r"))

@@ -11,8 +11,9 @@ Results for the odd cases:
 * local times that the clock showed twice are ``ambiguous``, those it never showed ``skipped``;
 * everything else is ``instant``. Repeated rows are kept: one output row per input row and label.
 
-Where a file's clock is unknown, :func:`estimate_zones` tries each candidate zone's offset history
-against the order of the messages and the ingestion time and takes the one that violates least.
+Where a file's clock is unknown, :func:`estimate_histories` tries each candidate zone's offset history
+against the order of the messages and the ingestion time and takes the history of zones that violates least;
+a clock may move from one zone to another inside a file.
 """
 
 from __future__ import annotations
@@ -261,8 +262,64 @@ def label_instants(
     return source.mapInArrow(parse_batches(tuple(fields), tuple(keep), all_statuses), schema)
 
 
+def _candidate_batches(keep: tuple[str, ...], candidates: tuple[str, ...]):
+    """An Arrow function: keep columns + (label, day_first) to keep columns + the instant under each candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes: dict = {}
+        zones: dict = {}
+        for batch in batches:
+            memo: dict = {}
+            at, instants = [], []
+            for i, (label, first) in enumerate(zip(batch.column("_label").to_pylist(), batch.column("_day_first").to_pylist())):
+                key = (label, first)
+                if key not in memo:
+                    text = label.strip()
+                    status, value, zone = classify(text, first, shapes) if text else ("empty", None, None)
+                    if status != "instant":
+                        memo[key] = None
+                    elif isinstance(zone, int):
+                        memo[key] = [value - zone] * len(candidates)
+                    else:
+                        memo[key] = [to_utc(value, zone or c, zones, _is_date_only(text))[1] for c in candidates]
+                if memo[key] is not None:
+                    at.append(i)
+                    instants.append(memo[key])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in keep], pa.array(instants, pa.list_(pa.field("element", pa.int64())))], [*keep, "instants"])
+
+    return run
+
+
+#: A file's chats are cut into this many stretches, between which its clock may have moved; a move costs this many violations.
+STRETCHES, MOVE = 16, 3
+
+
+def _fit_of_candidates(rows: DataFrame, candidates: tuple[str, ...], block: int, stretches: int) -> DataFrame:
+    """(source_path, stretch, first_chat, last_chat, rank, violations, gap_s) of every candidate in every stretch of a file.
+
+    Each label is read once and placed in time under all candidates at once.
+    """
+    files = rows.where("chat_index is not null").groupBy("source_path").agg(F.max("chat_index").alias("_top"))
+    known = rows.where("chat_index is not null and message_index is not null and timestamp is not null and ingested_at is not null").join(files, "source_path")
+    keep = ("source_path", "chat_index", "message_index", "ingested_at", "stretch")
+    source = known.select(
+        "source_path", "chat_index", "message_index", "ingested_at", F.least(F.lit(stretches - 1), F.floor(F.col("chat_index") * stretches / (F.col("_top") + 1))).cast("int").alias("stretch"),
+        F.col("timestamp").alias("_label"), F.expr("coalesce(date_order, 'dmy') <> 'mdy'").alias("_day_first"),
+    )
+    types = dict(source.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keep) + ", instants array<bigint>"
+    placed = source.mapInArrow(_candidate_batches(keep, candidates), schema).select(*keep, F.posexplode("instants").alias("rank", "utc_second")).where("utc_second is not null")
+    near = Window.partitionBy("source_path", "rank", "chat_index", F.expr(f"message_index div {block}")).orderBy("message_index", "utc_second")
+    gap = F.col("utc_second") - F.lag("utc_second").over(near)
+    late = F.col("utc_second") > F.unix_timestamp(F.col("ingested_at").cast("timestamp"))
+    return placed.withColumn("gap", gap).groupBy("source_path", "stretch", "rank").agg(
+        F.min("chat_index").alias("first_chat"), F.max("chat_index").alias("last_chat"), (F.count_if(F.col("gap") < 0) + F.count_if(late)).alias("violations"), F.sum(F.abs("gap")).alias("gap_s")
+    )
+
+
 def estimate_zones(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATE_ZONES, block: int = 1024) -> DataFrame:
-    """(source_path, zone, violations, gap_s): the zone whose offset history fits best.
+    """(source_path, zone, violations, gap_s): the one zone whose offset history fits a file best.
 
     Every label is placed in time under each candidate (labels that carry a zone of their own stay
     fixed). Neighbouring messages of a conversation must not go back in time and must not lie after
@@ -270,54 +327,97 @@ def estimate_zones(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATE_ZONE
     then the one with the smaller total gap between neighbours, then the first of the list. Neighbours
     are looked for inside blocks of ``block`` places, so that a huge conversation spreads over tasks.
     """
-    spark = rows.sparkSession
-    named = spark.createDataFrame([(z, i) for i, z in enumerate(candidates)], "candidate string, rank int")
-    wide = rows.select("source_path", "chat_index", "message_index", "timestamp", "date_order", "ingested_at").where(
-        "chat_index is not null and message_index is not null and timestamp is not null"
-    )
-    spread = wide.crossJoin(F.broadcast(named)).withColumn("day_first", F.expr("coalesce(date_order, 'dmy') <> 'mdy'"))
-    placed = label_instants(
-        spread,
-        fields=("timestamp",),
-        keep=("source_path", "chat_index", "message_index", "candidate", "rank", "ingested_at"),
-        zone="candidate",
-        day_first="day_first",
-        all_statuses=False,
-    )
-    near = Window.partitionBy("source_path", "candidate", "chat_index", F.expr(f"message_index div {block}")).orderBy("message_index", "utc_second")
-    gap = F.col("utc_second") - F.lag("utc_second").over(near)
-    scored = placed.withColumn("gap", gap).groupBy("source_path", "candidate", "rank").agg(
-        (
-            F.count_if(F.col("gap") < 0) + F.count_if(F.col("utc_second") > F.unix_timestamp("ingested_at"))
-        ).alias("violations"),
-        F.sum(F.abs("gap")).alias("gap_s"),
-    )
-    return scored.groupBy("source_path").agg(
-        F.min_by("candidate", F.struct("violations", "gap_s", "rank")).alias("zone"),
-        F.min(F.struct("violations", "gap_s", "rank")).alias("best"),
-    ).select("source_path", "zone", F.col("best.violations").alias("violations"), F.col("best.gap_s").alias("gap_s"))
+    fits = _fit_of_candidates(rows, candidates, block, 1)
+    best = fits.groupBy("source_path").agg(F.min(F.struct("violations", "gap_s", "rank")).alias("best"))
+    zone = F.element_at(F.array(*[F.lit(z) for z in candidates]), F.col("best.rank") + 1)
+    return best.select("source_path", zone.alias("zone"), F.col("best.violations").alias("violations"), F.col("best.gap_s").alias("gap_s"))
+
+
+def estimate_histories(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATE_ZONES, block: int = 1024, stretches: int = STRETCHES) -> DataFrame:
+    """(source_path, first_chat, zone, violations): from which chat on a file's clock ran in which zone.
+
+    As ``estimate_zones`` for every stretch of chats, joined to the history that has the fewest violations, a move
+    of the clock counting as ``MOVE`` of them (Viterbi over the stretches; ties as there). What is gathered per file
+    is one row per stretch and candidate.
+    """
+    n = len(candidates)
+
+    def history(group):
+        import pandas as pd
+
+        parts = sorted(group["stretch"].unique())
+        cost = {(r.stretch, r.rank): (int(r.violations), int(r.gap_s) if r.gap_s == r.gap_s else 0) for r in group.itertuples()}
+        # A candidate that places none of a stretch's labels says nothing there, and counts as its worst.
+        worst = {p: max((cost[p, k] for k in range(n) if (p, k) in cost), default=(0, 0)) for p in parts}
+        best = [(0, 0, k) for k in range(n)]
+        back = []
+        for t, p in enumerate(parts):
+            step, now = [], []
+            lead = min(range(n), key=lambda k: best[k])
+            for k in range(n):
+                moved = (best[lead][0] + MOVE, *best[lead][1:])
+                stay = t == 0 or best[k] <= moved
+                base = best[k] if stay else moved
+                v, g = cost.get((p, k), worst[p])
+                step.append(k if stay else lead)
+                now.append((base[0] + v, base[1] + g, base[2]))
+            back.append(step)
+            best = now
+        at = min(range(n), key=lambda k: best[k])
+        path = []
+        for step in reversed(back):
+            path.append(at)
+            at = step[at]
+        path.reverse()
+        firsts = group.groupby("stretch")["first_chat"].min()
+        rows_ = []
+        for p, k in zip(parts, path):
+            v = cost.get((p, k), worst[p])[0]
+            if rows_ and rows_[-1][2] == candidates[k]:
+                rows_[-1][3] += v
+            else:
+                rows_.append([group["source_path"].iloc[0], int(firsts[p]), candidates[k], v])
+        return pd.DataFrame(rows_, columns=["source_path", "first_chat", "zone", "violations"])
+
+    fits = _fit_of_candidates(rows, candidates, block, stretches)
+    return fits.groupBy("source_path").applyInPandas(history, "source_path string, first_chat int, zone string, violations bigint")
 
 
 def with_clocks(messages: DataFrame, files: DataFrame) -> DataFrame:
     """``messages`` with ``clock`` (zone name) and ``day_first`` from ``files``.
 
     A file that is described has its stated zone (null: UTC); files missing from ``files`` get the
-    estimated one. The description side is joined by plain equi-join, so the planner broadcasts it
-    only while its measured size allows.
+    estimated history, a row without chat_index the history's first zone. The description side is joined
+    by plain equi-join, so the planner broadcasts it only while its measured size allows; whether a file is
+    missing is asked of the distinct paths alone.
     """
     described = files.groupBy("source_path").agg(
         F.max(F.coalesce("clock_zone", F.lit("UTC"))).alias("_stated"),
         F.max("date_order").alias("date_order"),
     )
     messages = messages.drop("date_order", "clock", "day_first", "_stated", "_guess")
-    joined = messages.join(described, "source_path", "left")
+    joined = messages.join(described, "source_path", "left").withColumn("day_first", F.expr("coalesce(date_order, 'dmy') <> 'mdy'"))
     missing = messages.select("source_path").distinct().join(described, "source_path", "left_anti")
     if missing.isEmpty():
-        return joined.withColumn("clock", F.col("_stated")).withColumn("day_first", F.expr("coalesce(date_order, 'dmy') <> 'mdy'")).drop("_stated")
-    guessed = estimate_zones(joined.where("_stated is null")).select("source_path", F.col("zone").alias("_guess"))
-    return (
-        joined.join(guessed, "source_path", "left")
-        .withColumn("clock", F.coalesce("_stated", "_guess", F.lit("UTC")))
-        .withColumn("day_first", F.expr("coalesce(date_order, 'dmy') <> 'mdy'"))
-        .drop("_stated", "_guess")
-    )
+        return joined.withColumn("clock", F.col("_stated")).drop("_stated")
+    return _guessed(joined.where("_stated is not null").withColumn("clock", F.col("_stated")), joined.where("_stated is null")).drop("_stated")
+
+
+def with_estimated_clocks(messages: DataFrame, files: DataFrame) -> DataFrame:
+    """As ``with_clocks`` with every zone estimated; of ``files`` only the order of dates is read."""
+    order = files.groupBy("source_path").agg(F.max("date_order").alias("date_order"))
+    joined = messages.drop("date_order", "clock", "day_first", "_guess").join(order, "source_path", "left").withColumn("day_first", F.expr("coalesce(date_order, 'dmy') <> 'mdy'"))
+    return _guessed(None, joined)
+
+
+def _guessed(stated: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``rows`` with the zone of their file's estimated history, UTC without any, after the ``stated`` ones."""
+    ordered = Window.partitionBy("source_path").orderBy("first_chat")
+    spans = estimate_histories(rows).select(
+        F.col("source_path").alias("_path"), F.col("zone").alias("_guess"), F.when(F.row_number().over(ordered) == 1, -(2**31)).otherwise(F.col("first_chat")).alias("_from"),
+        F.coalesce(F.lead("first_chat").over(ordered), F.lit(2**31)).alias("_to"),
+    )
+    at = F.coalesce(F.col("chat_index"), F.lit(-1))
+    guessed = rows.join(spans, (F.col("source_path") == F.col("_path")) & (at >= F.col("_from")) & (at < F.col("_to")), "left")
+    guessed = guessed.withColumn("clock", F.coalesce("_guess", F.lit("UTC"))).drop("_path", "_guess", "_from", "_to")
+    return guessed if stated is None else stated.unionByName(guessed)

@@ -112,7 +112,7 @@ query("wide_pivot", CTE + f"""SELECT {KEY_SQL}, max(score) FILTER (annotation_id
  max(score) FILTER (annotation_id = 'user-tests-memory') AS "user-tests-memory" FROM long GROUP BY ALL""")(
     lambda i: model.pivoted(model.long_scores(i.wide), ["both-mentions-time", "user-tests-memory"])
 )
-query("wide_pivot_all")(
+query("wide_pivot_all", CTE + f"""SELECT {KEY_SQL}, max(COLUMNS('score__(.*)')) AS '\\1' FROM msg WHERE ({KEY_SQL}) IN (SELECT ({KEY_SQL}) FROM long) GROUP BY {KEY_SQL}""")(
     lambda i: model.pivoted(model.long_scores(i.wide), [c.removeprefix(model.PREFIX) for c in i.wide.columns if c.startswith(model.PREFIX)])
 )
 query("role_split_columns", CTE + f"""SELECT {KEY_SQL}, CASE WHEN role = 'user' THEN "score__both-plays-scene" END AS u,

@@ -304,3 +304,41 @@ def _heatmap(i: Inputs):
     features = np.array([table[n] for n in names])
     places = {m: {k: p for p, k in enumerate(small.leaf_order(features, m))} for m in ("ward", "average")}
     return i.spark.createDataFrame([(n, places["ward"][k], places["average"][k]) for k, n in enumerate(names)], "annotation_id string, ward int, average int")
+
+
+query("split_thoughts", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'I think “so” – ' || kind END AS thought, CASE WHEN doc_id % 3 > 0 THEN 'Yes.' ELSE 'I think “so” – ' || kind || chr(10) || ' Yes.' END AS response FROM documents WHERE kind IS NOT NULL""")(
+    lambda i: records.split_thoughts(
+        i.t("documents").where("kind IS NOT NULL").select("doc_id", "kind", F.concat(F.lit("I think “so” – "), "kind", F.lit("\n Yes. ")).alias("content")),
+        lambda t: t.withColumn("answer", F.when(c("doc_id") % 3 > 0, F.concat(F.lit('I think "so" -  '), "kind")).otherwise("something else")),
+    ).select("doc_id", "thought", "response")
+)
+query("rewritten_messages", f"""WITH t AS (SELECT {KEY_SQL}, lower(trim(arg_min_null(role, row_id))) AS role, arg_min_null(content, row_id) AS content FROM messages WHERE chat_index IS NOT NULL AND message_index IS NOT NULL GROUP BY ALL)
+SELECT {KEY_SQL}, CASE WHEN role = 'user' AND message_index % 4 > 0 THEN 'again: ' || message_index ELSE content END AS content FROM t""")(
+    lambda i: records.rewritten(
+        i.t("messages").where("chat_index IS NOT NULL AND message_index IS NOT NULL").groupBy(*KEYS).agg(F.lower(F.trim(F.min_by("role", "row_id"))).alias("role"), F.min_by("content", "row_id").alias("content")),
+        lambda t: t.withColumn("answer", F.when(c("message_index") % 4 > 0, F.concat(F.lit(" again: "), c("message_index").cast("string"))).otherwise(" ")),
+    ).select(*KEYS, "content")
+)
+query("scored_subsets", """SELECT doc_id, CAST(doc_id % 11 AS INT) AS prior_conversation_reliance, 10 AS uploaded_document_reliance, 0 AS cohesion, kind AS notes FROM documents WHERE kind IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 = 0)""")(
+    lambda i: records.scored_subsets(
+        i.t("documents").where("kind IS NOT NULL").select("doc_id", "kind"), i.t("documents").where("doc_id % 4 = 0"), ["doc_id"],
+        lambda t: t.withColumn("answer", F.concat(F.lit('{"prior_conversation_reliance": '), (c("doc_id") % 11).cast("string"), F.lit(', "uploaded_document_reliance": 99, "cohesion": -3, "notes": "'), "kind", F.lit('"}'))),
+    ).select("doc_id", "prior_conversation_reliance", "uploaded_document_reliance", "cohesion", "notes")
+)
+query("page_links", """SELECT DISTINCT source_path, chat_index, replace(url_encode(regexp_replace(source_path, '\\.json$', '.html')), '%2F', '/') || '#chat-' || (chat_index + 1) AS link FROM messages WHERE chat_index IS NOT NULL""")(
+    lambda i: i.t("messages").where("chat_index IS NOT NULL").select("source_path", "chat_index", fx.page_link(c("source_path"), c("chat_index")).alias("link")).distinct()
+)
+query("latex_texts", r"""SELECT doc_id, replace(replace(replace(regexp_replace(replace(kind || '_\x&50%~^{' || text, '\', chr(1)), '([&%$#_{}])', '\\\1', 'g'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}'), chr(1), '\textbackslash{}') AS tex FROM documents""")(
+    lambda i: i.t("documents").select("doc_id", fx.latex_escaped(F.concat("kind", F.lit("_\\x&50%~^{"), "text")).alias("tex"))
+)
+query("anonymised_texts", """WITH t AS (SELECT row_id, content, strpos(content, ' ') - 1 AS n FROM messages WHERE strpos(content, ' ') > 2)
+SELECT row_id, '<word>' || substr(content, n + 1) AS replaced, repeat('*', n) || substr(content, n + 1) AS masked, sha256(substr(content, 1, n)) || substr(content, n + 1) AS hashed, substr(content, n + 1) AS redacted,
+ 'word_' || substr(sha256('word|' || lower(substr(content, 1, n))), 1, 8) || substr(content, n + 1) AS faked FROM t""")(lambda i: _anonymised(i))
+
+
+def _anonymised(i: Inputs):
+    """The first word of each message, put away in every way."""
+    t = i.t("messages").select("row_id", "content", (F.instr("content", F.lit(" ")) - 1).alias("n")).where("n > 1")
+    spans = F.array(F.struct(F.lit(0).alias("start"), c("n").cast("int").alias("stop"), F.lit("word").alias("kind")))
+    ways = {"replaced": "replace", "masked": "mask", "hashed": "hash", "redacted": "redact", "faked": "fake"}
+    return t.select("row_id", *[fx.anonymised(c("content"), spans, how).alias(name) for name, how in ways.items()])
