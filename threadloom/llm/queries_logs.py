@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.timestamps import label_instants, with_clocks
 from ..runtime import ship, staged, table
 from . import consensus, conversations, pairs, reservoir, sameness
 
@@ -64,15 +65,23 @@ def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A uniform sample of messages; a row that lacks part of its key is told by chat_key or time label."""
+    """A uniform sample of messages; a row that lacks part of its key is told by its chat_key or the instant of its time label.
+
+    Only rows without message_index have their labels read, so one sent again with its label in another form is one
+    message; a label without instant tells by its text.
+    """
     ship(spark)
-    rows = table(spark, sf_dir, "messages").select(
-        "participant", "source_path", "chat_index", "message_index", "row_id",
-        F.when(F.col("chat_index").isNull(), F.col("chat_key")).alias("other_chat"),
-        F.when(F.col("message_index").isNull(), F.col("timestamp")).alias("other_place"),
-    )
+    rows = table(spark, sf_dir, "messages").select("participant", "source_path", "chat_index", "message_index", "row_id", "chat_key", "timestamp", "ingested_at")
+    other_chat = F.when(F.col("chat_index").isNull(), F.col("chat_key")).alias("other_chat")
     key = ["participant", "source_path", "chat_index", "message_index", "other_chat", "other_place"]
-    return reservoir.fixed_size_sample(rows, key, "row_id", SAMPLE_SIZE).select("participant", "source_path", "chat_index", "message_index", "row_id")
+    placed = rows.where("message_index is not null").select(*key[:4], "row_id", other_chat, F.lit(None).cast("string").alias("other_place"))
+    keep = ("participant", "source_path", "chat_index", "message_index", "row_id", "chat_key", "label")
+    loose = label_instants(
+        with_clocks(rows.where("message_index is null"), table(spark, sf_dir, "transcript_files")).withColumn("label", F.col("timestamp")),
+        fields=("timestamp",), keep=keep, zone="clock", day_first="day_first",
+    ).select(*key[:4], "row_id", other_chat, F.coalesce(F.col("utc_second").cast("string"), "label").alias("other_place"))
+    sample = reservoir.fixed_size_sample(placed.unionByName(loose), key, "row_id", SAMPLE_SIZE)
+    return sample.select("participant", "source_path", "chat_index", "message_index", "row_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

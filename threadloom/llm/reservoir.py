@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from ..runtime import staged
 
 
+LEAST_SHARDS, SHARD_RECORDS = 8, 1_000_000
+
+
 class GeometricFile:
     """Uniform sample of up to ``size`` ids of those offered."""
 
@@ -122,12 +125,13 @@ def fixed_size_sample(df: DataFrame, key: list[str], record_id: str, size: int,
     """``size`` records of ``df``, each distinct ``key`` equally likely: key columns and the least record id.
 
     Copies of a key are combined before the shuffle, so a record sent very often is one row per task.
-    The driver sees one population per shard.
+    There is a shard for every ``SHARD_RECORDS`` distinct records, whatever the cluster, so the sample depends on
+    data and seed only; a shard holds at most ``size`` ids. The driver sees one population per shard.
     """
     spark = df.sparkSession
     distinct = staged(df.groupBy(*key).agg(F.min(record_id).alias(record_id)), "distinct")
     # Spread by a hash, ordered by id: what a shard holds does not depend on arrival.
-    width = max(1, min(4 * spark.sparkContext.defaultParallelism, 256))
+    width = max(LEAST_SHARDS, -(-distinct.count() // SHARD_RECORDS))
     sharded = distinct.select(F.col(record_id).cast("bigint").alias("record")).repartition(width, F.xxhash64("record")).sortWithinPartitions("record")
     kept = staged(sharded.mapInArrow(_shards(size, seed), "shard int, population bigint, rank bigint, record bigint"), "shards")
     sizes = sorted((r.shard, r.population) for r in kept.groupBy("shard").agg(F.max("population").alias("population")).collect())
