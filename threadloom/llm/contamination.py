@@ -21,6 +21,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,6 +79,8 @@ class Index:
             blocks = [p[i : i + _POSTINGS] for i in range(0, len(p), _POSTINGS)]
             self.terms[t] = ([d for d, _ in p], [x for _, x in p], [b[-1][0] for b in blocks], [max(x for _, x in b) for b in blocks], max(x for _, x in p))
 
+        self.best = {t: x[4] for t, x in self.terms.items()}
+
     def retrieve(self, terms: set[str]) -> list[int]:
         """Ordinals of all items whose score for ``terms`` reaches their threshold (block-max WAND)."""
         known = self.terms
@@ -147,9 +150,20 @@ class Index:
         run, size = self.run, max(PASSAGE, 2 * self.run)
         found: dict[int, set[str]] = {}
         known = self.terms
-        for begin in range(0, len(w) - run + 1, size - run + 1):
-            passage = w[begin : begin + size]
-            terms = {t for t in passage if t in known}
+        if len(w) < run:
+            return {}
+        # What a passage can score at most, from running sums: its words' greatest weights, repeats included.
+        best = [self.best.get(t, 0.0) for t in w]
+        upto = [0.0, *accumulate(best)]
+        enough = self.threshold - 1e-6
+        # A run of an item has no word that the index lacks: passages are laid within stretches of known words.
+        gaps = [-1, *[i for i, x in enumerate(best) if not x], len(w)]
+        passages = [(begin, min(begin + size, to)) for at, to in zip(gaps, gaps[1:]) if to - at > run for begin in range(at + 1, to - run + 1, size - run + 1)]
+        for begin, end in passages:
+            if upto[end] - upto[begin] < enough:
+                continue
+            passage = w[begin:end]
+            terms = set(passage)
             for d in self.retrieve(terms):
                 grams = self.grams[d]
                 for i in range(len(passage) - run + 1):
