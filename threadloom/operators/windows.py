@@ -188,7 +188,7 @@ def preceding_skipping(messages: DataFrame, depth: int, skip: Column) -> DataFra
 
 def slice_around(messages: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
     """Messages within ``before``/``after`` places of an anchor of their conversation."""
-    a = anchors.select(*CONVERSATION, F.col("message_index").alias("anchor"))
+    a = anchors.withColumnRenamed("message_index", "anchor")
     d = F.col("message_index") - F.col("anchor")
     return messages.join(a, list(CONVERSATION)).where(d.between(-before, after)).withColumn("offset", d)
 

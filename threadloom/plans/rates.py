@@ -108,10 +108,6 @@ query("missing_pairs", CTE + f"SELECT {KEY_SQL}, annotation_id FROM scope ANTI J
 query("match_cutoff_expansion", CTE + """SELECT annotation_id, CAST(k AS INT) AS score_cutoff, count(*) AS positives
  FROM scored, range(1, 11) r(k) WHERE trunc(score) >= k GROUP BY ALL""")(lambda i: rates.match_cutoffs(i.scored))
 query("unpivot_scores", CTE + f"SELECT {KEY_SQL}, role, annotation_id, score FROM long")(lambda i: model.long_scores(i.wide))
-query("wide_pivot", CTE + f"""SELECT {KEY_SQL}, max(score) FILTER (annotation_id = 'both-mentions-time') AS "both-mentions-time",
- max(score) FILTER (annotation_id = 'user-tests-memory') AS "user-tests-memory" FROM long GROUP BY ALL""")(
-    lambda i: model.pivoted(model.long_scores(i.wide), ["both-mentions-time", "user-tests-memory"])
-)
 query("wide_pivot_all", CTE + f"""SELECT {KEY_SQL}, max(COLUMNS('score__(.*)')) AS '\\1' FROM msg WHERE ({KEY_SQL}) IN (SELECT ({KEY_SQL}) FROM long) GROUP BY {KEY_SQL}""")(
     lambda i: model.pivoted(model.long_scores(i.wide), [c.removeprefix(model.PREFIX) for c in i.wide.columns if c.startswith(model.PREFIX)])
 )

@@ -70,9 +70,9 @@ query("symmetric_extremes", """(SELECT "K", "X", "Y", round(ln(enrichment_K), 9)
 UNION ALL (SELECT "K", "X", "Y", round(ln(enrichment_K), 9) AS e FROM sequence_pairs WHERE ln(enrichment_K) > 0 ORDER BY e DESC, "X" || "Y" || "K" LIMIT 10)""")(
     lambda i: relations.extremes(i.t("sequence_pairs").select("K", "X", "Y", F.round(F.ln("enrichment_K"), 9).alias("e"), F.concat("X", "Y", "K").alias("tie")), "e", "tie", 10, 10).drop("tie")
 )
-query("page_of_records", f"SELECT {KEY_SQL}, annotation_id, score FROM (" + CTE + f"""SELECT {KEY_SQL}, annotation_id, score FROM scored WHERE is_pos AND annotation_id = 'user-tests-memory'
- ORDER BY score DESC, {KEY_SQL} LIMIT 25 OFFSET 50)""")(
-    lambda i: relations.page(i.scored.where("is_pos AND annotation_id = 'user-tests-memory'").select(*KEYS, "annotation_id", "score"), [F.desc("score"), *[F.col(k) for k in KEYS]], 3, 25)
+query("page_of_records", f"SELECT {KEY_SQL}, annotation_id, score FROM (" + CTE + f"""SELECT {KEY_SQL}, annotation_id, score FROM scored WHERE is_pos
+ ORDER BY score DESC, annotation_id, {KEY_SQL} LIMIT 25 OFFSET 50)""")(
+    lambda i: relations.page(i.scored.where("is_pos").select(*KEYS, "annotation_id", "score"), [F.desc("score"), F.col("annotation_id"), *[F.col(k) for k in KEYS]], 3, 25)
 )
 query("quota_allocation", """WITH s AS (SELECT participant, count(*) AS n FROM preprocessed GROUP BY 1), w AS (SELECT *, 500.0 * n / sum(n) OVER () AS share FROM s),
 f AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, participant) AS rk, 500 - sum(floor(share)) OVER () AS lf FROM w)
@@ -87,13 +87,22 @@ b AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY participant ORDER BY sou
 SELECT {CONV_SQL}, length FROM b WHERE before < 40""")(
     lambda i: relations.whole_conversations(windows.lengths(i.messages), 40, "participant", F.struct("source_path", "chat_index"))
 )
-query("first_message_with_quote", f"""WITH t AS ({_ONCE}), q AS (SELECT {CONV_SQL}, 'the librarian' AS quote FROM t GROUP BY ALL)
+query("first_message_with_quote", f"""WITH t AS ({_ONCE}), q AS (SELECT DISTINCT {CONV_SQL}, substr(content, 3, 12) AS quote FROM t WHERE message_index % 3 = 0 AND length(content) >= 14
+ UNION SELECT DISTINCT {CONV_SQL}, upper(substr(content, 3, 12)) FROM t WHERE message_index % 3 = 1 AND length(content) >= 14 AND regexp_full_match(substr(content, 3, 12), '[ -~]*'))
 SELECT {CONV_SQL}, quote, arg_min(message_index, (CASE WHEN contains(content, quote) THEN 0 ELSE 1 END, message_index)) AS message_index
- FROM t JOIN q USING ({CONV_SQL}) WHERE contains(content, quote) OR contains(lower(content), lower(quote)) GROUP BY ALL""")(
-    lambda i: (lambda m: relations.first_match(m, m.select(*KEYS[:3]).distinct().withColumn("quote", F.lit("the librarian")), KEYS[:3]))(
-        i.t("messages").where("chat_index IS NOT NULL AND message_index IS NOT NULL").groupBy(*KEYS).agg(F.min_by("content", F.when(F.col("content").isNotNull(), F.col("row_id"))).alias("content"))
-    )
-)
+ FROM t JOIN q USING ({CONV_SQL}) WHERE contains(content, quote) OR contains(lower(content), lower(quote)) GROUP BY ALL""")(lambda i: _first_messages(i))
+
+
+def _first_messages(i: Inputs):
+    """Of a stretch of each third message, and of one in capitals, the message that holds it first."""
+    m = i.t("messages").where("chat_index IS NOT NULL AND message_index IS NOT NULL").groupBy(*KEYS).agg(F.min_by("content", F.when(F.col("content").isNotNull(), F.col("row_id"))).alias("content"))
+    part = F.substring("content", 3, 12)
+    long = m.where("length(content) >= 14")
+    quotes = long.where("message_index % 3 = 0").select(*KEYS[:3], part.alias("quote")).union(
+        long.where((F.col("message_index") % 3 == 1) & part.rlike("^[ -~]*\\z")).select(*KEYS[:3], F.upper(part).alias("quote"))).distinct()
+    return relations.first_match(m, quotes, KEYS[:3])
+
+
 query("participant_stats_total", f"""WITH t AS (SELECT {KEY_SQL}, arg_min_null(content, row_id) AS content FROM messages WHERE chat_index IS NOT NULL AND message_index IS NOT NULL GROUP BY ALL),
 c AS (SELECT {CONV_SQL}, count(*) AS length, sum(length(coalesce(content, ''))) AS chars,
  sum(CASE WHEN trim(regexp_replace(coalesce(content, ''), '[\\s\\x0b\\x{{a0}}]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content, '[\\s\\x0b\\x{{a0}}]+', ' ', 'g')), ' ')) END) AS words FROM t GROUP BY ALL)

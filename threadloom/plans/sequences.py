@@ -93,9 +93,13 @@ FROM n c LEFT JOIN n p ON p.participant = c.participant AND p.source_path = c.so
  AND (c.kept - p.kept < 2 OR (c.kept - p.kept = 2 AND NOT coalesce(p.role = 'system', false))) GROUP BY ALL""")(
     lambda i: windows.preceding_skipping(i.messages, 2, F.coalesce(F.col("role") == "system", F.lit(False)))
 )
-query("subset_slice", CTE + f""", a AS (SELECT {CONV_SQL}, min(message_index) AS anchor FROM scored WHERE is_pos AND in_scope AND annotation_id = 'user-tests-memory' GROUP BY ALL)
-SELECT {KEY_SQL}, message_index - anchor AS "offset" FROM msg JOIN a USING ({CONV_SQL}) WHERE message_index - anchor BETWEEN -2 AND 3""")(
-    lambda i: windows.slice_around(i.messages, windows.first_anchor(_pos(i).where("annotation_id = 'user-tests-memory'")), 2, 3).select(*CONV, "message_index", "offset")
+query("subset_slice", CTE + f""", a AS (SELECT annotation_id, {CONV_SQL}, min(message_index) AS anchor FROM scored WHERE is_pos AND in_scope GROUP BY ALL)
+SELECT annotation_id, {KEY_SQL}, message_index - anchor AS "offset" FROM msg JOIN a USING ({CONV_SQL}) WHERE message_index - anchor BETWEEN -2 AND 3""")(
+    lambda i: windows.slice_around(i.messages, windows.first_anchor(_pos(i)), 2, 3).select("annotation_id", *CONV, "message_index", "offset")
+)
+query("rolling_time_ties", """WITH e AS (SELECT event_id, user_id, date_trunc('day', ts) AS ts, value FROM events)
+SELECT a.event_id, round(avg(b.value), 6) AS rolling FROM e a JOIN e b ON b.user_id = a.user_id AND b.ts BETWEEN a.ts - INTERVAL 5 DAYS AND a.ts AND (b.ts < a.ts OR b.event_id <= a.event_id) GROUP BY a.event_id""")(
+    lambda i: _round(windows.rolling_time_no_peers(i.t("events").withColumn("ts", F.date_trunc("day", "ts")), ["user_id"], "ts", "event_id", "value", 5 * 86400).select("event_id", "rolling"), "rolling")
 )
 query("first_conversations", CTE + f""", d AS (SELECT {KEY_SQL}, dense_rank() OVER (PARTITION BY participant ORDER BY source_path, chat_index) AS c FROM msg)
 SELECT {KEY_SQL} FROM d WHERE c <= 5""")(lambda i: windows.first_conversations(i.messages, 5).select(*CONV, "message_index"))
