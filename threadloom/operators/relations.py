@@ -169,3 +169,13 @@ def texts_with_quotes(texts: DataFrame, quotes: DataFrame, text: str, quote: str
     holds = F.contains(F.lower(text), F.lower(quote))
     found = runs.join(anchors, "_g").drop("_g").where(holds)
     return found.unionByName(texts.join(short, holds).select(*found.columns))
+
+
+def with_cached(rows: DataFrame, cache: DataFrame, on: list[str], value: str, make) -> DataFrame:
+    """Rows with ``value`` from a cache, and made by the caller's model where the cache has none.
+
+    ``make`` takes the rows to do and adds ``value``; it is the only costly step and sees each missing row once.
+    """
+    held = cache.where(F.col(value).isNotNull()).groupBy(*on).agg(F.first(value).alias(value))
+    there = rows.join(held, on)
+    return there.unionByName(make(rows.join(held, on, "left_anti")).select(*there.columns))

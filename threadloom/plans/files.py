@@ -370,3 +370,20 @@ def _nearest(i: Inputs) -> DataFrame:
 
 SQL["nearest_messages"] = f"""WITH t AS (SELECT {KEY_SQL}, arg_min_null(content, row_id) AS content FROM messages WHERE chat_index IS NOT NULL AND message_index IS NOT NULL GROUP BY ALL)
 SELECT {CONV_SQL}, min(message_index) AS message_index FROM t WHERE length(content) BETWEEN 40 AND 400 GROUP BY ALL"""
+
+
+query("html_pages", f"""WITH t AS (SELECT {KEY_SQL}, arg_min_null(role, row_id) AS role, arg_min_null(content, row_id) AS content FROM messages WHERE chat_index IS NOT NULL AND message_index IS NOT NULL GROUP BY ALL),
+c AS (SELECT source_path, chat_index, string_agg('<p><b>' || coalesce(role, 'unknown') || '</b>: ' || coalesce(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '') || '</p>', '' ORDER BY message_index) AS t FROM t GROUP BY ALL)
+SELECT source_path, '<html>' || string_agg('<h2 id=' || chr(39) || 'chat-' || (chat_index + 1) || chr(39) || '></h2>' || t, '' ORDER BY chat_index) || '</html>' AS page FROM c GROUP BY source_path""")(lambda i: _pages(i))
+
+
+def _pages(i: Inputs) -> DataFrame:
+    path = _folder(i)
+    m = i.t("messages").where("chat_index IS NOT NULL AND message_index IS NOT NULL").groupBy(*KEYS).agg(F.min_by("role", "row_id").alias("role"), F.min_by("content", "row_id").alias("content"))
+    sinks.pages(m.drop("participant"), path, ["source_path"], "message_index")
+    return i.spark.read.text(path, wholetext=True).select("source_path", F.regexp_replace("value", "\\n\\z", "").alias("page"))
+
+
+query("latex_table", """SELECT '\\begin{tabular}{ll}' || chr(10) || 'annotation\\_id & cutoff \\\\' || chr(10) || string_agg(annotation_id || ' & ' || cutoff || ' \\\\', chr(10) ORDER BY annotation_id) || chr(10) || '\\end{tabular}' AS tex FROM cutoffs""")(
+    lambda i: sinks.latex_table(i.t("cutoffs").select("annotation_id", "cutoff"), ["annotation_id"])
+)

@@ -342,3 +342,12 @@ def _anonymised(i: Inputs):
     spans = F.array(F.struct(F.lit(0).alias("start"), c("n").cast("int").alias("stop"), F.lit("word").alias("kind")))
     ways = {"replaced": "replace", "masked": "mask", "hashed": "hash", "redacted": "redact", "faked": "fake"}
     return t.select("row_id", *[fx.anonymised(c("content"), spans, how).alias(name) for name, how in ways.items()])
+
+
+query("cached_embeddings", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'held' ELSE 'made' END AS how, CASE WHEN doc_id % 3 > 0 THEN doc_id ELSE length(coalesce(text, '')) END AS first FROM documents""")(
+    lambda i: relations.with_cached(
+        i.t("documents").select("doc_id", "text"),
+        i.t("documents").where("doc_id % 3 > 0").select("doc_id", F.array(c("doc_id").cast("float"), F.lit(1.0).cast("float")).alias("v")), ["doc_id"], "v",
+        lambda t: t.withColumn("v", F.array(F.length(F.coalesce("text", F.lit(""))).cast("float"), F.lit(0.0).cast("float"))),
+    ).select("doc_id", F.when(c("v")[1] > 0, "held").otherwise("made").alias("how"), c("v")[0].cast("bigint").alias("first"))
+)

@@ -58,3 +58,29 @@ def manifest(tasks: DataFrame, path: str, **meta: str) -> None:
     head = tasks.agg(F.count("*").alias("tasks")).select("tasks", *[F.lit(v).alias(k) for k, v in meta.items()])
     head.write.mode("overwrite").json(f"{path}/meta")
     tasks.write.mode("overwrite").json(f"{path}/tasks")
+
+
+def pages(messages: DataFrame, path: str, by: list[str], order: str) -> None:
+    """One HTML page per file of messages (K11), its conversations in order, each an anchor ``chat-N``; texts are escaped.
+
+    A page is one row, so it must fit a task; pages go to folders named by the file.
+    """
+    safe = F.col("content")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(entity))
+    line = F.concat(F.lit("<p><b>"), F.coalesce("role", F.lit("unknown")), F.lit("</b>: "), F.coalesce(safe, F.lit("")), F.lit("</p>"))
+    rows = messages.select(*by, "chat_index", F.struct(F.col(order).alias("o"), line.alias("t")).alias("l"))
+    chats = rows.groupBy(*by, "chat_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "").alias("t"))
+    body = F.concat(F.lit("<h2 id='chat-"), (F.col("chat_index") + 1).cast("string"), F.lit("'></h2>"), "t")
+    whole = chats.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chat_index", body.alias("t")))), lambda x: x["t"]), "").alias("value"))
+    whole.withColumn("value", F.concat(F.lit("<html>"), "value", F.lit("</html>"))).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def latex_table(df: DataFrame, order: list[str]) -> DataFrame:
+    """A small table as rows of a LaTeX tabular in one text (K12); bounded by the table, which is a summary."""
+    from ..functions.text import latex_escaped
+
+    cells = F.concat_ws(" & ", *[latex_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, cells.alias("_t")))), lambda x: F.concat(x["_t"], F.lit(" \\\\"))), "\n")
+    head = " & ".join(df.columns).replace("_", "\\_")
+    return df.agg(F.concat(F.lit("\\begin{tabular}{" + "l" * len(df.columns) + "}\n" + head + " \\\\\n"), body, F.lit("\n\\end{tabular}")).alias("tex"))
