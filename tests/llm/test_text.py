@@ -231,3 +231,13 @@ def test_stretches_can_be_located(spark):
     got = language.segments(df).where("doc_id = 99").orderBy("position").collect()
     assert [r.language for r in got][:2] == ["de", "en"] and text[got[0].begins : got[0].ends] == text[: text.index(".")]
     assert text[got[1].begins :].startswith("The dog") and sum(r.words for r in got) == 22
+
+
+def test_redacted_files(spark, tmp_path):
+    (tmp_path / "in/a").mkdir(parents=True)
+    (tmp_path / "in/a/x.txt").write_text("Write to a.b@mail.example\nor call +1 212 555 0128.")
+    (tmp_path / "in/y.txt").write_text("nothing here")
+    (tmp_path / "in/z.bin").write_text("c@d.example")
+    counts = {r.kind: r.texts for r in pii.redact_files(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    got = sorted(r.content for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert counts == {"email": 1, "phone": 1} and got == ["Write to [EMAIL]\nor call [PHONE].", "nothing here"]

@@ -408,3 +408,13 @@ def redacted(df: DataFrame, content: str = "content", row_id: str = "row_id", na
             )
 
     return df.select(row_id, content).mapInArrow(run, f"`{row_id}` {dict(df.dtypes)[row_id]}, content string, kinds array<string>")
+
+
+def redact_files(spark, source: str, target: str, pattern: str = "*.txt") -> DataFrame:
+    """Files below ``source`` written redacted as parquet (path, content, kinds) to ``target``; how many texts held each kind.
+
+    Files are read whole by the executors; a file is one text.
+    """
+    files = spark.read.text(source, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    redacted(files, "content", "path").write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("texts"))

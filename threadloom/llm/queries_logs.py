@@ -138,5 +138,8 @@ QUERIES = {
 SQL: dict[str, str] = {
     "p1_found": _P1_SQL + """SELECT DISTINCT CAST(k AS INT) AS k, least(x, y) AS x, greatest(x, y) AS y FROM e
 WHERE x <> y AND c_k >= 5 AND enrichment >= CASE WHEN k = 0 THEN 2.0 ELSE 3.6 END""",
+    "p1_odds": _P1_SQL + """, o AS (SELECT c.k, c.x, c.y, px.n AS n_x, py.n AS n_y, py.scored AS scored_y, c.c_k, c.c_k + 0.5 AS a, greatest(px.n * greatest(c.k, 1) - c.c_k, 0) + 0.5 AS b,
+ greatest(py.n - c.c_k, 0) + 0.5 AS cc, greatest(py.scored - px.n - py.n + c.c_k, 0) + 0.5 AS d FROM c JOIN per_item px ON px.item = c.x JOIN per_item py ON py.item = c.y)
+SELECT CAST(k AS INT) AS k, x, y, n_x, n_y, scored_y, c_k, round(ln(a * d / (b * cc)), 6) AS log_odds FROM o""",
     "p1_pairs": _P1_SQL + "SELECT CAST(k AS INT) AS k, x, y, n_x, c_k, round(enrichment, 6) AS enrichment FROM e",
 }
