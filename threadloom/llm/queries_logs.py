@@ -130,6 +130,25 @@ e AS (SELECT c.k, c.x, c.y, px.n AS n_x, c.c_k, (c.c_k / px.n::DOUBLE) / (py.n /
   FROM c JOIN per_item px ON px.item = c.x JOIN per_item py ON py.item = c.y)
 """
 
+_FOLD = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[\p{{P}}\p{{Z}}\p{{C}}$+<=>^`|~]+', '', 'g')"
+_NAME = r"[\p{L}_][\p{L}\p{N}_ .\-]{0,39}"
+#: Groups of equal contents: a record by its sorted folded fields (JSON object, key=value pairs, key: value lines), other texts by their folded letters.
+_P3_SQL = f"""
+WITH m AS (SELECT row_id, content AS t, trim(content, ' ') AS b FROM messages WHERE length(regexp_replace(content, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 30),
+j AS (SELECT row_id, b, TRY_CAST(b AS JSON) AS o FROM m WHERE starts_with(b, '{{') AND ends_with(b, '}}')),
+je AS (SELECT row_id, unnest(json_keys(o)) AS k, o FROM j WHERE json_type(o) = 'OBJECT' AND len(json_keys(o)) >= 2),
+pe AS (SELECT row_id, unnest(regexp_split_to_array(b, ';\\s*')) AS x FROM m WHERE NOT starts_with(b, '{{') AND contains(b, '=') AND contains(b, ';') AND regexp_full_match(b, '\\s*{_NAME}=[^=;\\n]*(?:;\\s*{_NAME}=[^=;\\n]*)+;?\\s*')),
+le AS (SELECT row_id, unnest(regexp_split_to_array(b, '\\r?\\n\\s*')) AS x FROM m WHERE NOT starts_with(b, '{{') AND contains(b, ':') AND regexp_full_match(b, '\\s*{_NAME}:[^\\n]*(?:\\n\\s*{_NAME}:[^\\n]*)+\\s*')
+ AND row_id NOT IN (SELECT row_id FROM pe)),
+e AS (SELECT row_id, k, coalesce(json_extract_string(o, '$."' || k || '"'), '') AS v FROM je
+ UNION ALL SELECT row_id, split_part(x, '=', 1), substr(x, strpos(x, '=') + 1) FROM pe WHERE contains(x, '=')
+ UNION ALL SELECT row_id, split_part(x, ':', 1), substr(x, strpos(x, ':') + 1) FROM le WHERE contains(x, ':')),
+r AS (SELECT row_id, string_agg({_FOLD.format('k')} || chr(1) || {_FOLD.format('v')}, chr(2) ORDER BY {_FOLD.format('k')}, {_FOLD.format('v')}) AS rec FROM e GROUP BY row_id),
+c AS (SELECT m.row_id, {_FOLD.format('t')} AS txt, rec FROM m LEFT JOIN r USING (row_id)),
+d AS (SELECT txt, min(rec) AS rec, min(row_id) AS first, count(*) AS n FROM c GROUP BY txt),
+g AS (SELECT coalesce('r' || rec, 't' || txt) AS code, min(first) AS first_row_id, CAST(sum(n) AS BIGINT) AS copies FROM d GROUP BY 1 HAVING sum(n) > 1)
+"""
+
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_odds": p1_odds, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found,
     "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ordered": p6_ordered,
@@ -138,6 +157,8 @@ QUERIES = {
 SQL: dict[str, str] = {
     "p1_found": _P1_SQL + """SELECT DISTINCT CAST(k AS INT) AS k, least(x, y) AS x, greatest(x, y) AS y FROM e
 WHERE x <> y AND c_k >= 5 AND enrichment >= CASE WHEN k = 0 THEN 2.0 ELSE 3.6 END""",
+    "p3_found": _P3_SQL + "SELECT first_row_id, row_id FROM c JOIN d USING (txt) JOIN g ON g.code = coalesce('r' || d.rec, 't' || d.txt) WHERE row_id <> first_row_id",
+    "p3_survivors": _P3_SQL + "SELECT first_row_id, copies FROM g",
     "p1_odds": _P1_SQL + """, o AS (SELECT c.k, c.x, c.y, px.n AS n_x, py.n AS n_y, py.scored AS scored_y, c.c_k, c.c_k + 0.5 AS a, greatest(px.n * greatest(c.k, 1) - c.c_k, 0) + 0.5 AS b,
  greatest(py.n - c.c_k, 0) + 0.5 AS cc, greatest(py.scored - px.n - py.n + c.c_k, 0) + 0.5 AS d FROM c JOIN per_item px ON px.item = c.x JOIN per_item py ON py.item = c.y)
 SELECT CAST(k AS INT) AS k, x, y, n_x, n_y, scored_y, c_k, round(ln(a * d / (b * cc)), 6) AS log_odds FROM o""",
