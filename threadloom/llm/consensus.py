@@ -151,6 +151,17 @@ def fit(answered: DataFrame, rounds: int = 200, tolerance: float = 2e-2) -> tupl
         slim.unpersist()
 
 
+def agreement(given: DataFrame, by: list[str]) -> DataFrame:
+    """(by, answers, agreement, kappa) of answers y: the share of annotator pairs that agree, null for a single answer,
+    and the same against what chance gives at the overall share of yes."""
+    tally = given.groupBy(*by).agg(F.count("*").alias("answers"), F.sum("y").alias("yes"))
+    n, y, share = F.col("answers"), F.col("yes"), F.col("share")
+    pairs = F.when(n > 1, (y * (y - 1) + (n - y) * (n - y - 1)) / (n * (n - 1)))
+    chance = share * share + (1 - share) * (1 - share)
+    overall = given.agg(F.avg("y").alias("share"))
+    return tally.crossJoin(F.broadcast(overall)).select(*by, "answers", pairs.alias("agreement"), F.when(chance < 1, (pairs - chance) / (1 - chance)).alias("kappa"))
+
+
 def consensus(labels: DataFrame, items: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
     """(per item, per annotator).
 
@@ -159,20 +170,13 @@ def consensus(labels: DataFrame, items: DataFrame, **settings) -> tuple[DataFram
     Per annotator: ability, leaning, answers, accuracy against the consensus and Cohen's kappa with it.
     """
     given, fitted, raters = fit(answers(labels, items), **settings)
-    tally = given.groupBy("item").agg(F.count("*").alias("answers"), F.sum("y").alias("yes"))
-    share = F.col("share")
-    overall = given.agg(F.avg("y").alias("share"))
-    n, y = F.col("answers"), F.col("yes")
-    pairs = F.when(n > 1, (y * (y - 1) + (n - y) * (n - y - 1)) / (n * (n - 1)))
-    chance = share * share + (1 - share) * (1 - share)
     known = items.select(*ITEM).distinct().withColumn("item", F.struct(F.xxhash64(*ITEM).alias("a"), F.xxhash64(F.lit(1), *ITEM).alias("b")))
     per_item = (
-        known.join(fitted, "item", "left").join(tally, "item", "left").crossJoin(F.broadcast(overall))
+        known.join(fitted, "item", "left").join(agreement(given, ["item"]), "item", "left")
         .select(
             *ITEM,
             F.when(F.col("p") > 0.5, "yes").when(F.col("p").isNotNull(), "no").alias("consensus"),
-            F.col("p").alias("p_yes"), "ease", F.coalesce(n, F.lit(0)).alias("answers"),
-            pairs.alias("agreement"), F.when(chance < 1, (pairs - chance) / (1 - chance)).alias("kappa"),
+            F.col("p").alias("p_yes"), "ease", F.coalesce("answers", F.lit(0)).alias("answers"), "agreement", "kappa",
         )
     )
     judged = given.join(fitted.select("item", (F.col("p") > 0.5).cast("int").alias("z")), "item")

@@ -64,6 +64,12 @@ def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.consensus(table(spark, sf_dir, "manual_labels"), table(spark, sf_dir, "manual_items"))[1]
 
 
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the annotators of each item agree, by pairs and beyond chance, before any consensus."""
+    given = consensus.answers(table(spark, sf_dir, "manual_labels"), table(spark, sf_dir, "manual_items"))
+    return consensus.agreement(given, list(consensus.ITEM)).withColumns({k: F.round(k, 6) for k in ("agreement", "kappa")})
+
+
 def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform sample of messages; a row that lacks part of its key is told by its chat_key or the instant of its time label.
 
@@ -151,7 +157,7 @@ g AS (SELECT coalesce('r' || rec, 't' || txt) AS code, min(first) AS first_row_i
 
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_odds": p1_odds, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found,
-    "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ordered": p6_ordered,
+    "p5_items": p5_items, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ordered": p6_ordered,
     "p7_sample": p7_sample,
 }
 SQL: dict[str, str] = {
@@ -159,6 +165,12 @@ SQL: dict[str, str] = {
 WHERE x <> y AND c_k >= 5 AND enrichment >= CASE WHEN k = 0 THEN 2.0 ELSE 3.6 END""",
     "p3_found": _P3_SQL + "SELECT first_row_id, row_id FROM c JOIN d USING (txt) JOIN g ON g.code = coalesce('r' || d.rec, 't' || d.txt) WHERE row_id <> first_row_id",
     "p3_survivors": _P3_SQL + "SELECT first_row_id, copies FROM g",
+    "p5_agreement": """WITH l AS (SELECT dataset_path, sequence_index, participant, annotation_id, annotator, lower(trim(arg_max(label, (labelled_at, label_id)))) AS w
+ FROM manual_labels WHERE label IS NOT NULL AND annotator IS NOT NULL GROUP BY ALL),
+v AS (SELECT * EXCLUDE (w), CASE WHEN w = 'yes' THEN 1 ELSE 0 END AS y FROM l SEMI JOIN manual_items USING (dataset_path, sequence_index, participant, annotation_id) WHERE w IN ('yes', 'no')),
+t AS (SELECT dataset_path, sequence_index, participant, annotation_id, count(*) AS answers, sum(y) AS s FROM v GROUP BY ALL), o AS (SELECT avg(y) ** 2 + (1 - avg(y)) ** 2 AS c FROM v),
+p AS (SELECT t.*, CASE WHEN answers > 1 THEN (s * (s - 1) + (answers - s) * (answers - s - 1)) / (answers * (answers - 1)) END AS a FROM t)
+SELECT dataset_path, sequence_index, participant, annotation_id, answers, round(a, 6) AS agreement, round((a - c) / (1 - c), 6) AS kappa FROM p, o""",
     "p1_odds": _P1_SQL + """, o AS (SELECT c.k, c.x, c.y, px.n AS n_x, py.n AS n_y, py.scored AS scored_y, c.c_k, c.c_k + 0.5 AS a, greatest(px.n * greatest(c.k, 1) - c.c_k, 0) + 0.5 AS b,
  greatest(py.n - c.c_k, 0) + 0.5 AS cc, greatest(py.scored - px.n - py.n + c.c_k, 0) + 0.5 AS d FROM c JOIN per_item px ON px.item = c.x JOIN per_item py ON py.item = c.y)
 SELECT CAST(k AS INT) AS k, x, y, n_x, n_y, scored_y, c_k, round(ln(a * d / (b * cc)), 6) AS log_odds FROM o""",
