@@ -255,3 +255,23 @@ def test_numbered_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
     got = [(r.row, r.v) for r in records.numbered(df.repartition(7), ["v"]).orderBy("row").collect()]
     assert [n for n, _ in got] == list(range(1, 1001)) and [v for _, v in got] == sorted(v for _, v in got)
+
+
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [("hot" if k % 3 else f"g{k % 5}" if k % 7 else None, k, int(rng.integers(0, 9))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k int, v int")
+    got = {r.k: r.v_before for r in records.running_before(df.repartition(9), "g", ["k"], ["v"]).collect()}
+    seen, want = {}, {}
+    for g, k, v in rows:
+        want[k] = seen.get(g, 0)
+        seen[g] = want[k] + v
+    assert got == want
+
+
+def test_stratified_of_a_hot_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id")
+    quota = spark.createDataFrame([("hot", 70), ("18", 1), ("19", 0), ("none", 4)], "g string, quota bigint")
+    got = relations.stratified(df, quota, "g", relations.hashed(7, "id")).collect()
+    best = [r.id for r in df.where("g = 'hot'").orderBy(relations.hashed(7, "id")).limit(70).collect()]
+    assert sorted(r.id for r in got if r.g == "hot") == sorted(best) and [r.id for r in got if r.g != "hot"] == [18]

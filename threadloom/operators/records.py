@@ -202,6 +202,23 @@ def token_stats(records: DataFrame, text: Column, per_token: int = 4) -> DataFra
     return records.agg(F.count("*").alias("rows"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.avg(tokens).alias("per_row"))
 
 
+def running_before(df: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Rows with ``<column>_before``, the sum over the earlier rows of their group.
+
+    Rows are cut into ranges of (group, order), so a group that holds a third of all rows spreads over tasks: running sums
+    within a range start from the sums of the group's earlier ranges, one row per group and range.
+    """
+    from ..runtime import staged
+
+    cut = staged(df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    ranges = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(by, "_p").agg(*[F.sum(c).alias(c) for c in columns]).select(F.col(by).alias("_by"), F.col("_p").alias("_q"), *[F.coalesce(F.sum(c).over(ranges), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy(by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    joined = rows.join(sums, rows[by].eqNullSafe(sums["_by"]) & (rows["_p"] == sums["_q"]))
+    return joined.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}") for c in columns}).drop("_p", "_by", "_q", *[f"_{c}" for c in columns])
+
+
 def batches(tasks: DataFrame, tokens: str, size: str, order: list[str], by: str, token_budget: int, byte_budget: int) -> DataFrame:
     """Tasks with the number of their batch within ``by``.
 
@@ -209,10 +226,10 @@ def batches(tasks: DataFrame, tokens: str, size: str, order: list[str], by: str,
     total passes a multiple and holds at most a budget plus its first task; running totals, unlike a greedy
     fill, need no sequential pass over all tasks.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    before = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = F.struct(F.floor(before(tokens) / token_budget).alias("t"), F.floor(before(size) / byte_budget).alias("b"))
-    return tasks.withColumn("_cut", cut).withColumn("batch", F.dense_rank().over(Window.partitionBy(by).orderBy("_cut")).cast("bigint") - 1).drop("_cut")
+    cut = F.struct(F.floor(F.col(f"{tokens}_before") / token_budget).alias("t"), F.floor(F.col(f"{size}_before") / byte_budget).alias("b"))
+    marked = running_before(tasks, by, order, [tokens, size]).withColumn("_cut", cut).drop(f"{tokens}_before", f"{size}_before")
+    numbers = marked.select(F.col(by).alias("_by"), F.col("_cut").alias("_c")).distinct().withColumn("batch", F.row_number().over(Window.partitionBy("_by").orderBy("_c")).cast("bigint") - 1)
+    return marked.join(numbers, marked[by].eqNullSafe(numbers["_by"]) & (marked["_cut"] == numbers["_c"])).drop("_cut", "_by", "_c")
 
 
 def pending(manifests: DataFrame) -> DataFrame:
