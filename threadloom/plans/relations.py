@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import model, relations, transcripts, windows
+from ..operators import model, relations, terms, transcripts, windows
+from ..runtime import ship
 from .base import CONV_SQL, CTE, KEY_SQL, Inputs
 
 QUERIES: dict = {}
@@ -182,20 +183,9 @@ def _tfidf(i: Inputs):
     """Top 1-2 grams per kind of document by mean smoothed TF-IDF, each document of length 1 (M11, part of A45)."""
     from pyspark.ml.feature import StopWordsRemover
 
-    docs = i.t("documents").where("text IS NOT NULL")
-    n = docs.agg(F.count("*").alias("docs"))
-    stops = StopWordsRemover.loadDefaultStopWords("english")
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(\w\w+)\b"), 1), lambda w: ~w.isin(stops))
-    pairs = F.expr("transform(slice(words, 1, greatest(size(words) - 1, 0)), (w, k) -> concat(w, ' ', words[k + 1]))")
-    terms = docs.select("doc_id", "kind", words.alias("words")).select("doc_id", "kind", F.explode(F.concat("words", pairs)).alias("term"))
-    tf = terms.groupBy("kind", "doc_id", "term").agg(F.count("*").alias("tf"))
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses")).where("df >= 5").orderBy(F.desc("uses"), "term").limit(VOCABULARY)
-    idf = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = tf.join(idf, "term").select("kind", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    sizes = docs.groupBy(F.col("kind").alias("_kind")).agg(F.count("*").alias("members"))
-    weights = weighed.join(lengths, "doc_id").groupBy("kind", "term").agg(F.sum(F.col("w") / F.col("length")).alias("total"))
-    mean = weights.join(sizes, F.col("kind").eqNullSafe(F.col("_kind"))).select("kind", "term", (F.col("total") / F.col("members")).alias("weight"))
+    ship(i.spark)
+    stops = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+    mean = terms.mean_weights(i.t("documents"), "text", "kind", stops, VOCABULARY, 5)
     return relations.per_group(mean, ["kind"], [F.desc(F.round("weight", 6)), F.col("term")], 15).withColumn("weight", F.round("weight", 6))
 
 
