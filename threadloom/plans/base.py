@@ -1,11 +1,11 @@
-"""Shared inputs of the reference plans, and the oracle's common table expressions."""
+"""Shared inputs of the core plans, and the oracle's common table expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import model
-from ..runtime import table
+from ..runtime import ship, table
 
 
 class Inputs:
@@ -13,6 +13,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        ship(spark)
 
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import model, records
-from ..runtime import shared_dir, ship
+from ..runtime import shared_dir
 from ..sources import readers, sinks
 from .base import CONV_SQL, CTE, KEY_SQL, Inputs
 from .records import REC, _records
@@ -28,7 +28,6 @@ c = F.col
 def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark, sf_dir):
-            ship(spark)
             return fn(Inputs(spark, sf_dir))
 
         QUERIES[name] = run

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import model, relations, terms, transcripts, windows
-from ..runtime import ship
 from .base import CONV_SQL, CTE, KEY_SQL, Inputs
 
 QUERIES: dict = {}
@@ -183,7 +182,6 @@ def _tfidf(i: Inputs):
     """Top 1-2 grams per kind of document by mean smoothed TF-IDF, each document of length 1 (M11, part of A45)."""
     from pyspark.ml.feature import StopWordsRemover
 
-    ship(i.spark)
     stops = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
     mean = terms.mean_weights(i.t("documents"), "text", "kind", stops, VOCABULARY, 5)
     return relations.per_group(mean, ["kind"], [F.desc(F.round("weight", 6)), F.col("term")], 15).withColumn("weight", F.round("weight", 6))
