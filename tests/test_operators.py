@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as fx
 from threadloom.operators import agreement, dynamics, model, rates, records, regression, relations, transcripts, windows
+from threadloom.plans import catalogue
+
+from . import oracle
 
 SC = "participant string, source_path string, chat_index int, message_index int"
 
@@ -56,6 +59,27 @@ def test_interval_degenerates_for_one_participant(spark):
     assert (r.mean_rate, r.mean_low, r.mean_high, r.beta_mean) == (0.5, 0.5, 0.5, 0.5)
 
 
+@pytest.fixture(scope="module")
+def millions(spark, tmp_path_factory):
+    """Tables of 2.2 million messages, whose number's cube is above 2^63; all in the scope of a sycophantic and of a harmful annotation."""
+    folder = tmp_path_factory.mktemp("millions")
+    rows = spark.range(0, 2_200_000, 1, 4).selectExpr(
+        "concat('p', id % 7) AS participant", "'f' AS source_path", "cast(id div 1000 AS int) AS chat_index", "cast(id % 1000 AS int) AS message_index",
+        "if(id % 2 = 0, 'user', 'assistant') AS role", "cast(pmod(hash(id), 3 + id % 7) AS double) AS `score__s`", "cast(pmod(hash(id, 1), 3 + id % 7) AS double) AS `score__h`",
+    )
+    rows.write.parquet(f"{folder}/preprocessed.parquet")
+    ann = [("s", "sycophancy", [], False), ("h", "other", [], True)]
+    spark.createDataFrame(ann, "annotation_id string, category string, scope array<string>, is_harmful boolean").write.parquet(f"{folder}/annotations.parquet")
+    spark.createDataFrame([("s", 2), ("h", 4)], "annotation_id string, cutoff int").write.parquet(f"{folder}/cutoffs.parquet")
+    return str(folder)
+
+
+def test_annotation_set_frequency_over_millions_of_messages(spark, millions):
+    df = catalogue.queries()["annotation_set_frequency"](spark, millions)
+    oracle.same(df, oracle.connection(millions), catalogue.oracle_sql()["annotation_set_frequency"])
+    assert one(df).messages == 2_200_000
+
+
 def test_equal_timestamps(spark):
     df = spark.createDataFrame([(1, "u", 0, 1.0), (2, "u", 0, 3.0), (3, "u", 10, 5.0)], "event_id int, user_id string, s int, value double").withColumn("ts", F.timestamp_seconds("s"))
     peers = {r.event_id: r.rolling for r in windows.rolling_time(df, ["user_id"], "ts", "value", 10).collect()}

@@ -15,7 +15,11 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def beta_sd(a: Column, b: Column) -> Column:
-    """Standard deviation of a Beta distribution, null for parameters that are none (F32)."""
+    """Standard deviation of a Beta distribution, null for parameters that are none (F32).
+
+    In doubles: the cube of two million counts overflows 64 bits.
+    """
+    a, b = a.cast("double"), b.cast("double")
     s = a + b
     return F.when((a > 0) & (b > 0), F.sqrt(a * b / (s * s * (s + 1))))
 
