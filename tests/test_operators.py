@@ -80,6 +80,18 @@ def test_annotation_set_frequency_over_millions_of_messages(spark, millions):
     assert one(df).messages == 2_200_000
 
 
+def test_any_harmful_frequency_over_millions_of_messages(spark, millions):
+    df = catalogue.queries()["any_harmful_frequency"](spark, millions)
+    oracle.same(df, oracle.connection(millions), catalogue.oracle_sql()["any_harmful_frequency"])
+    assert one(df).messages == 2_200_000
+
+
+def test_beta_interval_of_billions(spark):
+    low, high = rates.beta_ci(F.lit(4_000_000_000), F.lit(5_000_000_000))
+    half = 1.96 * math.sqrt(4 / 9 * 5 / 9 / 9_000_000_001)
+    assert tuple(one(spark.range(1).select(low, high))) == pytest.approx((4 / 9 - half, 4 / 9 + half), rel=1e-12)
+
+
 def test_equal_timestamps(spark):
     df = spark.createDataFrame([(1, "u", 0, 1.0), (2, "u", 0, 3.0), (3, "u", 10, 5.0)], "event_id int, user_id string, s int, value double").withColumn("ts", F.timestamp_seconds("s"))
     peers = {r.event_id: r.rolling for r in windows.rolling_time(df, ["user_id"], "ts", "value", 10).collect()}
