@@ -86,6 +86,17 @@ def test_any_harmful_frequency_over_millions_of_messages(spark, millions):
     assert one(df).messages == 2_200_000
 
 
+def test_any_harmful_frequency_of_a_key_with_two_roles(spark, tmp_path):
+    rows = [("p", "f", 0, 0, "user", 5.0, None), ("p", "f", 0, 0, "assistant", None, 4.0), ("q", "f", 0, 0, "user", 0.0, None), ("q", "f", 0, 0, "bot", None, 9.0)]
+    spark.createDataFrame(rows, SC + ", role string, `score__u` double, `score__a` double").write.parquet(f"{tmp_path}/preprocessed.parquet")
+    ann = [("u", "c", ["user"], True), ("a", "c", ["assistant"], True)]
+    spark.createDataFrame(ann, "annotation_id string, category string, scope array<string>, is_harmful boolean").write.parquet(f"{tmp_path}/annotations.parquet")
+    spark.createDataFrame([("u", 4), ("a", 4)], "annotation_id string, cutoff int").write.parquet(f"{tmp_path}/cutoffs.parquet")
+    df = catalogue.queries()["any_harmful_frequency"](spark, str(tmp_path))
+    oracle.same(df, oracle.connection(tmp_path), catalogue.oracle_sql()["any_harmful_frequency"])
+    assert (one(df).messages, one(df).positives) == (2, 2)
+
+
 def test_beta_interval_of_billions(spark):
     low, high = rates.beta_ci(F.lit(4_000_000_000), F.lit(5_000_000_000))
     half = 1.96 * math.sqrt(4 / 9 * 5 / 9 / 9_000_000_001)

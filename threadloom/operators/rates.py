@@ -53,8 +53,8 @@ def frequencies(scored: DataFrame, at_least: int = 3) -> DataFrame:
 
 
 def any_positive(scored: DataFrame, members: Column) -> DataFrame:
-    """Per in-scope message of any member: whether one of them is positive."""
-    return scored.where(members & F.col("in_scope")).groupBy(*KEY, "role").agg(F.max("is_pos").alias("hit"))
+    """Per in-scope message of any member: whether one of them is positive (A09, A10). A key that stands with two roles is one message."""
+    return scored.where(members & F.col("in_scope")).groupBy(*KEY).agg(F.max("is_pos").alias("hit"))
 
 
 def set_summary(messages: DataFrame, z: float = Z95) -> DataFrame:
